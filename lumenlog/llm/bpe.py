@@ -27,7 +27,7 @@ LEAF = 512
 #: Characters encoded together; bounds the memory of a task.
 SLICE_CHARS = 1 << 20
 #: Pretokens kept with their ids; the cache is emptied when full.
-CACHE = 500_000
+CACHE = 300_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -324,7 +324,7 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "ids",
         for b in batches:
             texts = strings(b.column(b.num_columns - 1))
             at = 0
-            for i, j in slices(texts, 8 * SLICE_CHARS):
+            for i, j in slices(texts, 4 * SLICE_CHARS):
                 got = pa.array(list(bpe.encode(texts[i:j])), pa.binary())
                 part = b.slice(at, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], got], names=[*b.schema.names[:-1], "ids"])
