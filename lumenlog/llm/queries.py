@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenlog.llm import chat, langid, secrets
 from lumenlog.llm.bpe import digest, encode_texts
 from lumenlog.llm.common import table
 from lumenlog.llm.decontam import contamination
@@ -28,15 +29,36 @@ URL_RULES = [
 ]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~langid.held_out()))
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = binary_codes(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return top_k(codes, codes.where("id % 100 = 0"), k=10)
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find_secrets(docs, secrets.fit(docs))
+    base = F.filter("spans", lambda x: x["base"])
+    kinds = F.transform(base, lambda x: x["kind"])
+    counts = [(F.size(base) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+    digest_ = F.sha2(secrets.span_text(base).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest_, secrets.span_text(F.col("spans")).alias("spans"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, max_bits=4)
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.parse(table(spark, sf_dir, "conversations"))
+    return turns.select("conv_id", "turn", "part", "role", "n_lines", F.sha2(F.col("rendered").cast("binary"), 256).alias("rendered_sha256"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return digest(encode_texts(docs, TOKENIZER), TOKENIZER)
@@ -60,8 +82,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_topk": op2_topk,
+    "op3_secrets": op3_secrets,
     "op4_simhash": op4_simhash,
+    "op5_chat": op5_chat,
     "op6_bpe": op6_bpe,
     "op7_url_filter": op7_url_filter,
     "op8_decontamination": op8_decontamination,
