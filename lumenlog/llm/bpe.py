@@ -14,6 +14,8 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,9 @@ from lumenlog.llm.common import slices, strings
 #: Pretokens of more bytes than this are encoded as a tree of leaves of at most this many bytes.
 LEAF = 512
 #: Characters encoded together; bounds the memory of a task.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 21
 #: Pretokens kept with their ids; the cache is emptied when full.
-CACHE = 300_000
+CACHE = 400_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -165,31 +167,38 @@ class WordBpe:
         out_ids[live, :width], out_n[live] = ids, n
         return out_ids, out_n
 
-    def merge(self, words: list[bytes], ended: bool = True) -> list[np.ndarray]:
-        """Ids of each byte string; `ended`: its last byte carries the end-of-word suffix."""
-        out: list = [None] * len(words)
-        size = np.array([len(w) for w in words])
+    def merged(self, words: list[bytes], ended: bool = True) -> Iterator[tuple[list[int], np.ndarray, list[int]]]:
+        """Groups of words of like size: their numbers, their ids one after the other, and how many each has.
+        `ended`: a word's last byte carries the end-of-word suffix."""
+        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         order = np.argsort(size, kind="stable")
+        grown = size[order]
         at = 0
         while at < len(order):
-            width = max(1, int(size[order[at]]))
-            to = int(np.searchsorted(size[order], width + max(2, width // 4), side="right"))
+            width = max(1, int(grown[at]))
+            to = int(np.searchsorted(grown, width + max(2, width // 4), side="right"))
             to = min(max(to, at + 1), at + max(1, (1 << 20) // width))
-            part = order[at:to]
-            width = max(1, int(size[part].max()))
-            flat = np.frombuffer(b"".join(words[i] for i in part), dtype=np.uint8)
-            n = size[part]
+            part = order[at:to].tolist()
+            n = grown[at:to]
+            width = max(1, int(n[-1]))
+            flat = np.frombuffer(b"".join([words[i] for i in part]), dtype=np.uint8)
             ids = np.zeros((len(part), width), dtype=np.int32)
-            fill = np.arange(width) < n[:, None]
-            ids[fill] = self.first[flat]
+            cols = np.arange(width)
+            ids[cols < n[:, None]] = self.first[flat]
             if ended:
                 has = np.flatnonzero(n)
                 last = np.cumsum(n)[has] - 1
                 ids[has, n[has] - 1] = self.first[256 + flat[last].astype(np.int64)]
             ids, n = self._merge_rows(ids, n)
-            for k, i in enumerate(part):
-                out[i] = ids[k, : n[k]]
+            yield part, ids[cols < n[:, None]], n.tolist()
             at = to
+
+    def merge(self, words: list[bytes], ended: bool = True) -> list[np.ndarray]:
+        """Ids of each byte string."""
+        out: list = [None] * len(words)
+        for part, ids, n in self.merged(words, ended):
+            for i, x in zip(part, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+                out[i] = x
         return out
 
     # Tree concatenation of one long pretoken.
@@ -261,34 +270,35 @@ class WordBpe:
         return out
 
     def _learn(self, new: list[str | int]) -> None:
-        if len(self.known) > CACHE:
-            self.known.clear()
-            self.known.update(self.fixed)
         words = [w.encode() for w in new]
-        short = [k for k, w in enumerate(words) if len(w) <= LEAF]
-        flat = self.merge([words[k] for k in short])
-        ids = np.concatenate(flat).astype("<u4").tobytes() if flat else b""
-        at = 0
-        for k, x in zip(short, flat, strict=True):
-            to = at + 4 * len(x)
-            self.known[new[k]] = ids[at:to]
-            at = to
-        for k, w in enumerate(words):
-            if len(w) > LEAF:
-                self.known[new[k]] = self.encode_long(w).astype("<u4").tobytes()
+        if max(map(len, words), default=0) > LEAF:
+            for w, p in zip(words, new, strict=True):
+                if len(w) > LEAF:
+                    self.known[p] = self.encode_long(w).astype("<u4").tobytes()
+            new = [p for w, p in zip(words, new, strict=True) if len(w) <= LEAF]
+            words = [w for w in words if len(w) <= LEAF]
+        known = self.known
+        for part, ids, sizes in self.merged(words):
+            data, at = ids.astype("<u4").tobytes(), 0
+            for i, n in zip(part, sizes, strict=True):
+                to = at + 4 * n
+                known[new[i]] = data[at:to]
+                at = to
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         for a, b in slices(texts, SLICE_CHARS):
             split = [self.split(t) for t in texts[a:b]]
-            seen = set().union(*split)
-            self._learn([p for p in seen if p not in self.known])
-            # The cache may have been emptied: what this slice needs and is gone is learned again.
-            if gone := [p for p in seen if p not in self.known]:
-                self._learn(gone)
-            get = self.known.__getitem__
-            for s in split:
-                yield b"".join(map(get, s))
+            known = self.known
+            if len(known) > CACHE:  # what this slice needs stays
+                known = self.known = self.fixed | {p: known[p] for p in set().union(*split) if p in known}
+            found = [list(map(known.get, s)) for s in split]
+            gaps = [list(compress(range(len(v)), map(not_, v))) if None in v else () for v in found]
+            self._learn(list({s[i] for s, g in zip(split, gaps, strict=True) for i in g}))
+            for s, v, g in zip(split, found, gaps, strict=True):
+                for i in g:
+                    v[i] = known[s[i]]
+                yield b"".join(v)
 
     def decode(self, ids: bytes) -> str:
         """The token texts joined by blanks, which is what a file without a decoder gives."""
@@ -324,7 +334,7 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "ids",
         for b in batches:
             texts = strings(b.column(b.num_columns - 1))
             at = 0
-            for i, j in slices(texts, 4 * SLICE_CHARS):
+            for i, j in slices(texts, 2 * SLICE_CHARS):
                 got = pa.array(list(bpe.encode(texts[i:j])), pa.binary())
                 part = b.slice(at, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], got], names=[*b.schema.names[:-1], "ids"])
