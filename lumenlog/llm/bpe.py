@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import slices, strings
+from lumenlog.llm.common import lean, slices, strings
 
 #: Pretokens of more bytes than this are encoded as a tree of leaves of at most this many bytes.
 LEAF = 512
@@ -371,12 +371,12 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "ids",
         keep = t.slice(0, 1).select(list(name.values()))
         return keep.append_column("ids", pa.array([b"".join(out)], pa.binary()))
 
-    short = base.where(small).mapInArrow(whole, f"{fields}ids binary")
+    short = base.where(small).mapInArrow(lean(whole), f"{fields}ids binary")
     long = base.where(~small).withColumn("t_uid", F.monotonically_increasing_id())
     long = long.select(*name.values(), "t_uid", "t")
-    pieces = long.mapInArrow(cut, f"{fields}t_uid long, seq long, word long, last boolean, data binary")
+    pieces = long.mapInArrow(lean(cut), f"{fields}t_uid long, seq long, word long, last boolean, data binary")
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    done = pieces.repartition(n, "t_uid", "seq").mapInArrow(piece, f"{fields}t_uid long, seq long, word long, last boolean, data binary")
+    done = pieces.repartition(n, "t_uid", "seq").mapInArrow(lean(piece), f"{fields}t_uid long, seq long, word long, last boolean, data binary")
     long = done.groupBy("t_uid").applyInArrow(glue, f"{fields}ids binary")
     return short.unionByName(long).select(*[F.col(n).alias(c) for c, n in name.items()], F.col("ids").alias(ids))
 
@@ -427,4 +427,4 @@ def digest(df: DataFrame, path: str) -> DataFrame:
             cols = [b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids])]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select("doc_id", "ids").mapInArrow(run, schema)
+    return df.select("doc_id", "ids").mapInArrow(lean(run), schema)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import sys
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,3 +29,21 @@ def slices(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
 def strings(column: pa.Array) -> list[str]:
     """The values, null as the empty string."""
     return ["" if x is None else x for x in column.to_pylist()]
+
+
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`f` for mapInArrow, in a worker that gives memory back: large arrays when they are freed, all else at the end of
+    the partition. Workers outlive their tasks, and what an idle one keeps is lost to the executor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        libc = ctypes.CDLL(None) if sys.platform == "linux" else None
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return run

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import slices, strings
+from lumenlog.llm.common import lean, slices, strings
 
 #: Buckets of hashed n-grams for each n of 1 to 3.
 BITS = 14
@@ -33,9 +33,9 @@ MAX_LANGS = 512
 SWITCH = 12.0
 #: A language is a candidate for a script in which at least this share of its training letters is written.
 MIN_SHARE = 0.01
-SLICE_CHARS = 1 << 19
+SLICE_CHARS = 1 << 18
 #: Words whose scores are held together.
-HOLD_WORDS = 1 << 21
+HOLD_WORDS = 1 << 19
 
 # First and last code points of scripts.
 SCRIPTS = [
@@ -99,7 +99,8 @@ def words_of(texts: list[str]) -> Words:
     end = np.append(edge[1:], len(kind))
     own = kind[edge] > 0
     start, end = edge[own], end[own]
-    return Words(points, start, end, kind[start] - 1, np.searchsorted(origin, start, side="right") - 1, origin)
+    own = np.searchsorted(origin, start, side="right") - 1
+    return Words(points, start.astype(np.int32), end.astype(np.int32), kind[start] - 1, own.astype(np.int32), origin)
 
 
 def grams(w: Words) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
@@ -195,15 +196,15 @@ def labelled_scores(model: Model, texts: list[str]) -> Iterator[tuple[int, int,
     for i, j in [*slices(texts, SLICE_CHARS), (len(texts), -1)]:
         if held and (j < 0 or n >= HOLD_WORDS):
             counts = np.concatenate([np.bincount(w.text, minlength=q - p) for p, q, w, _ in held])
-            label = viterbi(np.concatenate([s for *_, s in held]), counts)
-            at = 0
-            for p, q, w, _ in held:
+            label, at = viterbi(np.concatenate([h.pop() for h in held]), counts), 0
+            for p, q, w in held:
                 yield p, q, w, label[at : at + len(w.start)]
                 at += len(w.start)
             held, n = [], 0
         if j >= 0:
             w = words_of(texts[i:j])
-            held.append((i, j, w, model.score(w)))
+            held.append([i, j, w, model.score(w)])
+            w.points = w.points[:0]  # not needed any more
             n += len(w.start)
 
 
@@ -263,7 +264,7 @@ def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> Model | None:
             at = np.flatnonzero(acc)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(acc[at])], names=["lang", "slot", "n"])
 
-    sums = chosen.mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    sums = chosen.mapInArrow(lean(count), "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     sums = sums.groupBy("lang").agg(F.collect_list(F.struct("slot", "n")).alias("v"))
     table = np.zeros((3 * BUCKETS + width, len(langs)))
     for r in sums.toLocalIterator():  # 3 * BUCKETS + scripts numbers a language at most
@@ -300,7 +301,7 @@ def identify(docs: DataFrame, model: Model | None, spans: bool = False) -> DataF
                 cols.append(pa.array([[{"start": s, "end": e, "lang": x} for s, e, x in g[2]] for g in got], kind))
             yield pa.RecordBatch.from_arrays(cols, names=[*name.values(), "lang_pred", "score", *(["spans"] if spans else [])])
 
-    out = base.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]) + extra)
+    out = base.mapInArrow(lean(run), ", ".join([*fields, "lang_pred string", "score double"]) + extra)
     return out.select(*[F.col(n).alias(c) for c, n in name.items()], "lang_pred", "score", *(["spans"] if spans else []))
 
 

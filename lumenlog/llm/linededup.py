@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import strings
+from lumenlog.llm.common import lean, strings
 from lumenlog.session import materialize
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -140,7 +140,7 @@ def references(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             cols = [pa.array(own, pa.int64()), *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (hi, lo)), pa.array(n, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "k1", "k2", "n_lines"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, k1 long, k2 long, n_lines long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, k1 long, k2 long, n_lines long")
 
 
 class LineIndex:
@@ -204,7 +204,7 @@ class LineIndex:
                             keep[at] = own[s].has(k1[at])
                     yield b.filter(pa.array(keep))
 
-            refs = refs.select("doc_id", "k1", "k2").mapInArrow(screen, "doc_id long, k1 long, k2 long")
+            refs = refs.select("doc_id", "k1", "k2").mapInArrow(lean(screen), "doc_id long, k1 long, k2 long")
         return refs.join(self.counts, ["k1", "k2"]).where("doc_id > low").select("doc_id", "k1", "k2")
 
     def apply(self, docs: DataFrame) -> DataFrame:
@@ -237,7 +237,7 @@ class LineIndex:
                 yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), b.column(0), *b.columns[3:]], names=["text_kept", "n_lines", "n_dropped", "join_text", *name.values()])
 
         self_min = self.min_chars
-        out = sent.mapInArrow(cut, schema)
+        out = sent.mapInArrow(lean(cut), schema)
         back = [F.col("join_text" if c == "text" else name[c]).alias(c) for c in rest]
         return out.select(*back, "text_kept", "n_lines", "n_dropped")
 

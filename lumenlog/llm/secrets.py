@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import strings
+from lumenlog.llm.common import lean, strings
 
 KINDS = ("assign", "access", "hex")
 # The base patterns. Letters of the first are in either case (ASCII only).
@@ -206,7 +206,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, examples: int = EXAMPLES) ->
             kind, token = zip(*sorted(got), strict=True) if got else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(token, pa.string())], names=["kind", "token"])
 
-    found = docs.where(part).select("text").mapInArrow(run, "kind int, token string").distinct()
+    found = docs.where(part).select("text").mapInArrow(lean(run), "kind int, token string").distinct()
     rank = F.row_number().over(W.partitionBy("kind").orderBy(F.xxhash64("token"), "token"))
     few = found.withColumn("n", rank).where(F.col("n") <= examples).select("kind", "token").collect()  # examples * 4 rows
     by: dict[int, list[str]] = {}
@@ -251,7 +251,7 @@ def find_secrets(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: st
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], names=["doc_id", "spans"])
 
     schema = "doc_id long, spans array<struct<kind:string,start:long,end:long,base:boolean,score:double>>"
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), schema)
 
 
 def span_text(spans: Column) -> Column:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import strings
+from lumenlog.llm.common import lean, strings
 from lumenlog.operators.graph import connected_components
 from lumenlog.session import materialize
 
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
             got = np.array([fingerprint(t, words) for t in strings(b.column("text"))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got.view(np.int64))], names=["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fingerprint long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, fingerprint long")
 
 
 def join_tries(x: np.ndarray, a: list[tuple[int, int]], b: list[tuple[int, int]], diff: list[int], depth: int, lead: int, lead_bits: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
