@@ -37,35 +37,36 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     own = W.partitionBy("dim", "segs").orderBy("id")
     few = base.distinct().withColumn("n", F.row_number().over(own)).where(F.col("n") <= k + 1)
     codes = materialize(few.groupBy("dim", "segs").agg(F.sort_array(F.collect_list("id")).alias("ids")), "codes")
-    index = materialize(codes.select("dim", "segs", F.posexplode("segs").alias("j", "v")), "index")
+    codes = materialize(codes.withColumn("cid", F.monotonically_increasing_id()), "codes")
+    index = materialize(codes.select("dim", "cid", F.posexplode("segs").alias("j", "v")), "index")
     code_count = codes.count()
-    open_ = materialize(queries.select(F.col("dim").alias("qd"), F.col("segs").alias("q")).distinct(), "queries")
+    asked_codes = queries.select(F.col("dim").alias("qd"), F.col("segs").alias("q")).distinct()
+    own_codes = materialize(asked_codes.withColumn("qid", F.monotonically_increasing_id()), "queries")
+    open_ = own_codes
     closed, found = [], None
+    # Exploded rows outgrow what the planner expects, so these joins are told not to broadcast.
     for r in range(SEG + 1):
         masks = F.expr(f"filter(sequence(0, {2**SEG - 1}), x -> bit_count(x) = {r})")
-        probes = open_.withColumn("mask", F.explode(masks)).select("qd", "q", "mask", F.posexplode("q").alias("j", "own"))
-        probes = probes.select("qd", "q", "j", F.col("own").bitwiseXOR(F.col("mask")).alias("v"))
-        met = probes.join(index.withColumnRenamed("dim", "qd"), ["qd", "j", "v"]).select("qd", "q", "segs").distinct()
+        probes = open_.select("qd", "qid", "q", F.explode(masks).alias("mask")).select("qd", "qid", "mask", F.posexplode("q").alias("j", "own"))
+        probes = probes.select("qid", F.col("qd").alias("dim"), "j", F.col("own").bitwiseXOR(F.col("mask")).alias("v"))
+        met = probes.join(index.hint("merge"), ["dim", "j", "v"]).select("qid", "cid").distinct()
+        if found is not None:  # of the codes met before, the k + 1 nearest are enough
+            met = met.unionByName(found.join(open_, "qid", "left_semi").select("qid", "cid")).distinct()
         far = F.aggregate(F.zip_with("q", "segs", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
-        met = met.withColumn("distance", far)
-        # A code met before keeps its place; of the rest the k + 1 nearest are enough.
-        if found is not None:
-            met = met.unionByName(found.join(open_, ["qd", "q"], "left_semi").select("qd", "q", "segs", "distance")).distinct()
-        lows = met.join(codes.select(F.col("dim").alias("qd"), "segs", "ids"), ["qd", "segs"])
-        near = W.partitionBy("qd", "q").orderBy("distance", F.col("ids")[0])
-        found = lows.withColumn("n", F.row_number().over(near)).where(F.col("n") <= k + 1).drop("n")
-        found = materialize(found, "found")
-        sure = F.col("distance") <= F.size("q") * (r + 1) - 1
-        have = found.groupBy("qd", "q").agg(F.sum(F.when(sure, F.size("ids")).otherwise(0)).alias("n"), F.count("*").alias("c"))
-        full = (F.col("n") > k) | (F.col("c") >= code_count)
-        done = materialize(have.where(full).select("qd", "q"), "done")
-        closed.append(found.join(done, ["qd", "q"], "left_semi"))
-        open_ = materialize(open_.join(done, ["qd", "q"], "left_anti"), "queries")
+        both = met.join(codes.select("cid", "segs", "ids").hint("merge"), "cid").join(open_.select("qid", "q").hint("merge"), "qid")
+        near = W.partitionBy("qid").orderBy("distance", F.col("ids")[0])
+        rows = both.select("qid", "cid", "ids", F.size("q").alias("m"), far.alias("distance"))
+        found = materialize(rows.withColumn("n", F.row_number().over(near)).where(F.col("n") <= k + 1).drop("n"), "found")
+        sure = F.col("distance") <= F.col("m") * (r + 1) - 1
+        have = found.groupBy("qid").agg(F.sum(F.when(sure, F.size("ids")).otherwise(0)).alias("n"), F.count("*").alias("c"))
+        done = materialize(have.where((F.col("n") > k) | (F.col("c") >= code_count)).select("qid"), "done")
+        closed.append(found.join(done, "qid", "left_semi"))
+        open_ = materialize(open_.join(done, "qid", "left_anti"), "queries")
         if open_.isEmpty():
             break
         if r == SEG:
-            closed.append(found.join(open_, ["qd", "q"], "left_semi"))
-    pairs = reduce(DataFrame.unionByName, closed).select("qd", "q", "distance", F.explode("ids").alias("neighbor_id"))
+            closed.append(found.join(open_, "qid", "left_semi"))
+    pairs = reduce(DataFrame.unionByName, closed).join(own_codes, "qid").select("qd", "q", "distance", F.explode("ids").alias("neighbor_id"))
     asked = queries.select(F.col("id").alias("query_id"), F.col("dim").alias("qd"), F.col("segs").alias("q")).distinct()
     got = asked.join(pairs, ["qd", "q"]).where("query_id <> neighbor_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "neighbor_id"))
