@@ -88,6 +88,7 @@ class WordBpe:
         self.beyond = re.compile(f"[^\x00-{chr(self.PLAIN - 1)}]")
         self.fixed = {i: i.to_bytes(4, "little") for i in self.added.values()}
         self.known: dict[str | int, bytes] = dict(self.fixed)
+        self.limit = CACHE
 
     def _pairs(self, vocab: dict[str, int], merges: list) -> None:
         """An open-addressing table from a pair of ids to the rank of its merge and the id it makes."""
@@ -290,7 +291,7 @@ class WordBpe:
         for a, b in slices(texts, SLICE_CHARS):
             split = [self.split(t) for t in texts[a:b]]
             known = self.known
-            if len(known) > CACHE:  # what this slice needs stays
+            if len(known) > self.limit:  # what this slice needs stays
                 known = self.known = self.fixed | {p: known[p] for p in set().union(*split) if p in known}
             found = [list(map(known.get, s)) for s in split]
             gaps = [list(compress(range(len(v)), map(not_, v))) if None in v else () for v in found]

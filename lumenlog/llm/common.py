@@ -38,7 +38,8 @@ def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> C
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         libc = ctypes.CDLL(None) if sys.platform == "linux" else None
         if hasattr(libc, "mallopt"):
-            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+            libc.mallopt(-3, 1 << 24)  # M_MMAP_THRESHOLD
+            libc.mallopt(-1, 1 << 26)  # M_TRIM_THRESHOLD
         try:
             yield from f(batches)
         finally:

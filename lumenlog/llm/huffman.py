@@ -34,6 +34,8 @@ HEAD = struct.Struct("<4sIQIQ")
 NO_ID = -(1 << 63)
 #: Longest code, in bits: 2 ** MAX_BITS is the size of the decoding table, and the ids that occur must not be more.
 MAX_BITS = 18
+#: Pretokens a worker keeps here; about 200 MB.
+CACHE = 900_000
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -98,7 +100,7 @@ def decoding_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
 
 def pack(doc_ids: list, sizes: np.ndarray, ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, every: int) -> bytes:
     """One block."""
-    size = lengths[ids].astype(np.int64)
+    size = lengths.astype(np.int64)[ids]
     end = np.cumsum(size)
     start = end - size
     n_bits = int(end[-1]) if len(end) else 0
@@ -106,7 +108,7 @@ def pack(doc_ids: list, sizes: np.ndarray, ids: np.ndarray, lengths: np.ndarray,
     if len(ids):
         value = codes[ids] << (64 - size - (start & 31)).astype(np.uint64)
         word = start >> 5
-        first = np.flatnonzero(np.diff(word, prepend=-1))
+        first = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])
         at = word[first]
         words[at] += np.add.reduceat(value >> np.uint64(32), first)
         words[at + 1] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), first)
@@ -128,15 +130,16 @@ def unpack(block: bytes, table: tuple[np.ndarray, np.ndarray, int]) -> tuple[np.
     pos = np.frombuffer(block, dtype="<u8", count=n_marks, offset=(at := at + 8 * n_docs)).astype(np.int64)
     body = np.frombuffer(block[at + 8 * n_marks :] + bytes(8), dtype=np.uint8)
     view = np.ndarray((len(body) - 3,), dtype=">u4", buffer=body, strides=(1,))
-    out = np.zeros((n_marks, every), dtype=np.uint32)
+    both = sym << np.uint32(8) | size
+    out = np.zeros((every, n_marks), dtype=np.uint32)
     last = n_ids - (n_marks - 1) * every
     for k in range(min(every, n_ids)):
         if k == last:
             pos = pos[:-1]
         key = (view[pos >> 3].astype(np.uint32) << (pos & 7).astype(np.uint32)) >> np.uint32(32 - bits)
-        out[: len(pos), k] = sym[key]
-        pos = pos + size[key]
-    return docs, sizes, out.reshape(-1)[:n_ids]
+        out[k, : len(pos)] = got = both[key]
+        pos = pos + (got & np.uint32(255))
+    return docs, sizes, (out >> np.uint32(8)).T.reshape(-1)[:n_ids]
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, block_ids: int = 1 << 18, every: int = 128) -> None:
@@ -161,6 +164,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part, seq = load(tokenizer), TaskContext.get().partitionId(), 0
+        bpe.limit = CACHE
         counts, held, doc_ids, sizes, total = np.zeros(n_vocab, dtype="<i8"), [], [], [], 0
         for b in batches:
             own, texts = b.column("doc_id").to_pylist(), strings(b.column("text"))
