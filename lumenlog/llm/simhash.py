@@ -25,6 +25,8 @@ from lumenlog.session import materialize
 
 #: Fingerprints a block holds on average; what a task reads is a few times this.
 BLOCK = 4096
+#: Fingerprints of a pair of blocks that one task may get; beyond that they are cut into chunks, and pairs of chunks dealt.
+HOT = 1 << 17
 #: Shingles whose bits are counted together.
 CHUNK = 1 << 16
 #: Node pairs followed together.
@@ -143,6 +145,13 @@ def links(classes: DataFrame, count: int, max_bits: int = 4, parts: int = 4) ->
     rows = rows.withColumn("side", own)
     near = F.filter(F.array(*[F.col("side").bitwiseXOR(F.lit(m)) for m in masks]), lambda o: o < F.col("side")) if masks else F.array().cast("array<long>")
     rows = rows.select("r", "x", "side", F.explode(F.concat(F.array("side"), near)).alias("block"))
+    # At most parts * 2 ** width rows (262,144 with four parts), whatever the input.
+    sizes = rows.groupBy("r", "block").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+    hot = materialize(sizes.select("r", "block", F.ceil(2 * F.col("n") / HOT).alias("chunks")), "hot")
+    rows = rows.join(F.broadcast(hot), ["r", "block"], "left") if parts << width <= 1 << 20 else rows.join(hot, ["r", "block"], "left")
+    rows = rows.withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("x"), F.col("chunks")))
+    rows = rows.select("r", "x", "block", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
+    rows = rows.select("r", "x", "block", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         r, block = key[0].as_py(), key[1].as_py()
@@ -160,7 +169,7 @@ def links(classes: DataFrame, count: int, max_bits: int = 4, parts: int = 4) ->
         back = lambda v: (v >> np.uint64(r * width) | v << np.uint64(64 - r * width)) if r else v
         return pa.table({"a": back(x[i]).view(np.int64), "b": back(x[j]).view(np.int64)})
 
-    return rows.groupBy("r", "block").applyInArrow(run, "a long, b long")
+    return rows.groupBy("r", "block", "low", "high").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, parts: int = 4) -> DataFrame:

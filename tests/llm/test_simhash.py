@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 import xxhash
 
 from lumenlog.llm import simhash as S
@@ -45,8 +46,10 @@ def test_trie_join_finds_every_pair():
     assert got == want and len(want) > 500
 
 
-def test_blocks_and_rotations_agree_with_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [1 << 17, 40])
+def test_blocks_and_rotations_agree_with_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(S, "BLOCK", 16)
+    monkeypatch.setattr(S, "HOT", hot)
     rng = np.random.default_rng(9)
     base = rng.integers(0, 2**64, 300, dtype=np.uint64)
     x = base
