@@ -28,6 +28,8 @@ MIN_CHARS = 10
 SHARD = 1 << 18
 #: Filters of more bytes than this together aren't sent to the tasks; every reference is then looked up exactly.
 MAX_FILTER_BYTES = 64 << 20
+#: A key that this share of all references has is hot: there are at most 1 / HOT_SHARE, and each is joined in SALTS parts.
+HOT_SHARE, SALTS = 1 / 1000, 64
 
 
 class Cuckoo:
@@ -205,7 +207,13 @@ class LineIndex:
                     yield b.filter(pa.array(keep))
 
             refs = refs.select("doc_id", "k1", "k2").mapInArrow(lean(screen), "doc_id long, k1 long, k2 long")
-        return refs.join(self.counts, ["k1", "k2"]).where("doc_id > low").select("doc_id", "k1", "k2")
+        # Hot keys are at most 1 / HOT_SHARE rows, whatever the input; their references are dealt by doc_id.
+        hot = materialize(self.counts.where(F.col("n_docs") > F.lit(HOT_SHARE * self.refs.count())).select("k1", "k2", F.lit(True).alias("hot")), "hot")
+        salt = lambda value, cold: F.when(F.col("hot"), value).otherwise(cold)
+        refs = refs.join(F.broadcast(hot), ["k1", "k2"], "left").withColumn("salt", salt(F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)), F.lit(0)).cast("int"))
+        each = salt(F.sequence(F.lit(0), F.lit(SALTS - 1)), F.array(F.lit(0)))
+        counts = self.counts.join(F.broadcast(hot), ["k1", "k2"], "left").select("k1", "k2", "low", F.explode(each).alias("salt"))
+        return refs.join(counts, ["k1", "k2", "salt"]).where("doc_id > low").select("doc_id", "k1", "k2")
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """`docs` with text_kept, n_lines and n_dropped; columns of these names are replaced."""
