@@ -356,7 +356,9 @@ def _(spark, logs, d):
 
 @register("field_statistics", "SELECT event_type, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(quantile_cont(value, 0.5), 6) AS median FROM logs GROUP BY 1")
 def _(spark, logs, d):
-    return rounded(logs.groupBy("event_type").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.percentile("value", F.lit(0.5)).alias("median")))
+    stats = logs.groupBy("event_type").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    middle = numeric.quantiles(logs, ["event_type"], [0.5]).select(F.col("event_type").alias("kind"), F.get("q", 0).alias("median"))
+    return rounded(stats.join(middle, F.col("event_type").eqNullSafe(F.col("kind"))).select("event_type", "mean", "sd", "median"))
 
 
 # Density clusters and incidents.

@@ -58,6 +58,27 @@ def test_token_similarity(spark):
     assert one(spark, s, a="a", b="a") == 1.0 and one(spark, s, a="", b="a") == 0.0
 
 
+def test_quantiles_of_large_groups_are_the_same(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [("a", rng.gauss(0, 50)) for _ in range(300)] + [("b", float(rng.randrange(4))) for _ in range(201)]
+    rows += [(None, v) for v in (2.0, None, 1.0)] + [("one", 7.0), ("none", None), ("ties", 5.0), ("ties", 5.0)]
+    df = spark.createDataFrame(rows, "g string, value double")
+    probs = [0.0, 0.25, 0.5, 0.95, 1.0]
+
+    def get():
+        return {(r.g, r.rows): r.q for r in numeric.quantiles(df, ["g"], probs).collect()}
+
+    want = get()
+    every = numeric.quantiles(df, [], probs).first()
+    monkeypatch.setattr(numeric, "MAX_BUFFER", 10)
+    got = get()
+    assert got.keys() == want.keys() and got[("none", 1)] is None
+    for k in want:
+        assert got[k] == want[k] or got[k] == pytest.approx(want[k])
+    other = numeric.quantiles(df, [], probs).first()
+    assert other.rows == every.rows == len(rows) and other.q == pytest.approx(every.q)
+
+
 def test_quartiles_and_outliers(spark):
     df = spark.createDataFrame([(i, float(i + 1)) for i in range(10)], "log_id long, value double")
     assert df.agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0] == [3.25, 5.5, 7.75]
