@@ -15,8 +15,8 @@ from lumenlog.llm.bpe import encode_texts
 from lumenlog.llm.common import table
 from lumenlog.llm.decontam import contamination
 from lumenlog.llm.linededup import dedup_lines
+from lumenlog.llm.neardup import similar_documents
 from lumenlog.llm.queries import TOKENIZER
-from lumenlog.llm.simhash import near_duplicates
 from lumenlog.session import materialize
 
 #: A document goes if no language has this share of its letters.
@@ -42,8 +42,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    groups = near_duplicates(docs.select("doc_id", "text"), words=4, max_bits=4)
+    """Of each group of near-duplicates (5-word shingles, Jaccard similarity of 0.8 and more) the document with the
+    smallest doc_id stays."""
+    groups = similar_documents(docs.select("doc_id", "text"), words=5, least=(4, 5))
     gone = materialize(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
