@@ -149,9 +149,10 @@ class IsolationForest:
 
 
 def isolation_scores(train: DataFrame, rows: DataFrame, columns: list[str], keys: list[str], max_train: int = 10_000, seed: int = 42) -> DataFrame:
-    """keys and score of `rows` by a forest of at most `max_train` rows of `train` (chosen by hash)."""
-    own = train.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
-    few = own.orderBy(F.xxhash64(*columns)).limit(max_train).toPandas()
+    """keys and score of `rows` by a forest of at most `max_train` rows of `train`, drawn by a hash of
+    the keys: equal rows have different keys, so each row has the same chance whatever its features."""
+    own = train.select(F.xxhash64(F.lit(seed), *keys).alias("_draw"), *[F.col(c).cast("double").alias(c) for c in columns]).na.drop(subset=columns)
+    few = own.orderBy("_draw", *columns).limit(max_train).drop("_draw").toPandas()
     forest = train.sparkSession.sparkContext.broadcast(IsolationForest(few.to_numpy(), seed=seed))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
