@@ -1,10 +1,14 @@
 """BPE encoding and decoding (operator 6) with a word-level BPE vocabulary file.
 
 The ids are those of the `tokenizers` library for the same file. A text is normalised and split into pretokens,
-and each distinct pretoken is merged once per cache life, for thousands of them together in numpy. A pretoken longer than `LEAF` bytes is encoded by tree
-concatenation: its leaves on their own, then pairwise joins in which a window around the seam is re-encoded and
-grown until its first and last tokens agree with the tokens already there and the pairs at both ends are stable.
-Texts longer than `piece_chars` are cut into pieces first, and the pieces of one text are encoded by many tasks.
+and each distinct pretoken is merged once per cache life, for thousands of them together in numpy.
+
+Tree concatenation encodes what is long. A text longer than `piece_chars` is cut anywhere, in the middle of a word
+too; its pieces are encoded by many tasks, each as if it were the whole text, and then joined pairwise: a window of
+characters around the seam is re-encoded and grown until it starts and ends at a blank and what it holds of either
+side is encoded as that side has it (`WordBpe.join_texts`). Within one pretoken of over `LEAF` bytes there are no
+blanks: there the leaves are joined by windows of tokens, grown until the first and last tokens agree with the tokens
+already there and the pairs at both ends are stable (`WordBpe.join`).
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from operator import not_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +35,8 @@ LEAF = 512
 SLICE_CHARS = 1 << 21
 #: Pretokens kept with their ids; the cache is emptied when full.
 CACHE = 400_000
+#: Characters at either side of a seam that are re-encoded first, and beyond which a seam within one pretoken is joined by tokens.
+WINDOW, UNSPLIT = 64, 2048
 _NONE = np.int32(2**31 - 1)
 
 
@@ -207,9 +214,6 @@ class WordBpe:
     def leaves(self, word: bytes, leaf: int = LEAF) -> list[bytes]:
         return [word[i : i + leaf] for i in range(0, len(word), leaf)]
 
-    def encode_leaf(self, leaf: bytes, last: bool) -> np.ndarray:
-        return self.merge([leaf], ended=last)[0]
-
     def _bytes(self, i: int) -> bytes:
         t = self.texts[i]
         return bytes(self.byte_of[c] for c in (t.removesuffix(self.suffix) if len(t) > len(self.suffix) else t))
@@ -219,14 +223,18 @@ class WordBpe:
         ended = self.texts[b].endswith(self.suffix) and len(self.texts[b]) > len(self.suffix)
         return self.merge([self._bytes(a) + self._bytes(b)], ended)[0].tolist() == [a, b]
 
-    def join(self, left: np.ndarray, right: np.ndarray, last: bool) -> np.ndarray:
+    def join(self, left: np.ndarray, right: np.ndarray, last: bool, most: int | None = None) -> np.ndarray | None:
         """The ids of the joined text: re-encode a window of tokens around the seam, doubled until it starts and
-        ends with two tokens of either side unchanged (or reaches that side's end) and its outer pairs are stable."""
+        ends with two tokens of either side unchanged (or reaches that side's end) and its outer pairs are stable.
+        None if that takes more than `most` bytes of a side."""
         if not len(left) or not len(right):
             return np.concatenate([left, right])
         w = 8
         while True:
             a, b = max(0, len(left) - w), min(len(right), w)
+            before, after = (b"".join(map(self._bytes, v.tolist())) for v in (left[max(0, a - 1) :], right[: b + 1]))
+            if most is not None and max(len(before), len(after)) >= most:
+                return None
             text = b"".join(map(self._bytes, [*left[a:].tolist(), *right[:b].tolist()]))
             mid = self.merge([text], ended=last and b == len(right))[0]
             left_ok = a == 0 or len(mid) > 2 and (mid[:2] == left[a : a + 2]).all() and self._stable(int(left[a - 1]), int(mid[0]))
@@ -247,6 +255,46 @@ class WordBpe:
         parts = self.leaves(word, leaf)
         return self.tree(self.merge(parts[:-1], ended=False) + self.merge(parts[-1:]))
 
+    # Tree concatenation of a long text.
+
+    def join_texts(self, left: tuple[str, np.ndarray], right: tuple[str, np.ndarray]) -> tuple[str, np.ndarray]:
+        """The text and ids of two neighbouring pieces of a text, each encoded as if it were a text of its own."""
+        (a, x), (b, y) = left, right
+        if not a or not b:
+            return a + b, np.concatenate([x, y])
+        w = WINDOW
+        while True:
+            own, other = a[-w:], b[:w]
+            # What is left of the first blank and right of the last is not looked at, unless the piece ends there.
+            if w < len(a):
+                own = own[1 + min((k for c in " \n" if (k := own.find(c)) >= 0), default=len(own)) :]
+            if w < len(b):
+                other = other[: max(other.rfind(c) for c in " \n") + 1]
+            if (own or w >= len(a)) and (other or w >= len(b)):
+                old = [np.frombuffer(i, dtype="<u4").astype(np.int32) for i in self.encode([own, other])]
+                m, n = map(len, old)
+                if (x[len(x) - m :] == old[0]).all() and (y[:n] == old[1]).all():
+                    mid = np.frombuffer(next(self.encode([own + other])), dtype="<u4").astype(np.int32)
+                    return a + b, np.concatenate([x[: len(x) - m], mid, y[n:]])
+            elif w >= UNSPLIT and (ids := self._join_unsplit(a[-w:], x, b[:w], y)) is not None:
+                return a + b, ids
+            w *= 2
+
+    def _join_unsplit(self, own: str, x: np.ndarray, other: str, y: np.ndarray) -> np.ndarray | None:
+        """The ids of two pieces whose ends `own` and `other` are parts of one pretoken; None if they aren't, or if a
+        window of tokens would reach beyond them."""
+        both, left, right = self.split(own + other), self.split(own), self.split(other)
+        if not len(both) == len(left) == len(right) == 1 or isinstance(both[0], int) or both[0] != left[0] + right[0]:
+            return None
+        return self.join(x, y, True, min(len(left[0].encode()), len(right[0].encode())))
+
+    def tree_texts(self, parts: list[tuple[str, np.ndarray]]) -> np.ndarray:
+        """The ids of a text from those of its pieces: neighbouring halves are joined level by level."""
+        while len(parts) > 1:
+            odd = parts[-1:] if len(parts) % 2 else []
+            parts = [self.join_texts(parts[i], parts[i + 1]) for i in range(0, len(parts) - 1, 2)] + odd
+        return parts[0][1]
+
     # Texts.
 
     def split(self, text: str) -> list[str | int]:
@@ -316,14 +364,15 @@ def load(path: str) -> WordBpe:
     return _LOADED[path]
 
 
-def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "ids", piece_chars: int = 1 << 16) -> DataFrame:
+def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "ids", piece_chars: int = 1 << 16, joins: str | None = None) -> DataFrame:
     """`df` without `text` and with a binary column `ids`: the ids as little-endian unsigned 32-bit integers.
 
-    A null text has no ids. Rows are kept as they are, repeated rows too; a column of `df` that is already called
-    `ids` is replaced. Texts of more than `piece_chars` characters are cut into pieces which are encoded in
-    parallel and concatenated per text; all others never leave their partition.
+    A null or empty text has no ids; an empty table gives no rows. Rows are kept as they are, repeated rows too; a
+    column of `df` that is already called `ids` is replaced. Texts of more than `piece_chars` characters are cut into
+    pieces of that size, wherever that is, which are encoded in parallel and joined per text; all others never leave
+    their partition. `joins` names a column for the number of seams that were joined.
     """
-    other = [c for c in df.columns if c not in (text, ids)]
+    other = [c for c in df.columns if c not in (text, ids, joins)]
     name = {c: f"c{i}" for i, c in enumerate(other)}
     base = df.select(*[F.col(f"`{c}`").alias(n) for c, n in name.items()], F.col(f"`{text}`").alias("t"))
     small = F.length(F.coalesce(F.col("t"), F.lit(""))) <= piece_chars
@@ -333,77 +382,49 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "ids",
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for b in batches:
-            texts = strings(b.column(b.num_columns - 1))
-            at = 0
-            for i, j in slices(texts, 2 * SLICE_CHARS):
-                got = pa.array(list(bpe.encode(texts[i:j])), pa.binary())
-                part = b.slice(at, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], got], names=[*b.schema.names[:-1], "ids"])
-                at = j
+            for i, j in _runs(b.column(b.num_columns - 1)):
+                part = b.slice(i, j - i)
+                got = pa.array(list(bpe.encode(strings(part.column(b.num_columns - 1)))), pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], got, pa.array(np.zeros(j - i, dtype=np.int64))], names=[*b.schema.names[:-1], "ids", "joins"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
         for b in batches:
             for k in range(b.num_rows):
-                row, rows = b.slice(k, 1), _pieces(bpe, b.column(b.num_columns - 1)[k].as_py(), piece_chars)
-                for seq, (word, last, data) in enumerate(rows):
-                    yield pa.RecordBatch.from_arrays([*row.columns[:-1], pa.array([seq], pa.int64()), pa.array([word], pa.int64()), pa.array([last]), pa.array([data], pa.binary())], names=[*b.schema.names[:-1], "seq", "word", "last", "data"])
+                row, t = b.slice(k, 1), b.column(b.num_columns - 1)[k].as_py()
+                for seq, at in enumerate(range(0, len(t), piece_chars)):
+                    yield pa.RecordBatch.from_arrays([*row.columns[:-1], pa.array([seq], pa.int64()), pa.array([t[at : at + piece_chars]], pa.string())], names=[*b.schema.names[:-1], "seq", "piece"])
 
     def piece(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for b in batches:
-            got = []
-            for word, last, data in zip(b.column("word").to_pylist(), b.column("last").to_pylist(), b.column("data").to_pylist(), strict=True):
-                got.append(b"".join(bpe.encode([data.decode()])) if word < 0 else bpe.encode_leaf(data, last).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.binary())], names=[*b.schema.names[:-1], "data"])
+            got = pa.array(list(bpe.encode(b.column("piece").to_pylist())), pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, got], names=[*b.schema.names, "data"])
 
     def glue(t: pa.Table) -> pa.Table:
-        bpe, rows = load(path), sorted(zip(t.column("seq").to_pylist(), t.column("word").to_pylist(), t.column("data").to_pylist(), strict=True))
-        out, run, at = [], [], -1
-        for _, word, data in [*rows, (0, -1, b"")]:
-            if run and word != at:
-                out.append(bpe.tree(run).astype("<u4").tobytes())
-                run = []
-            at = word
-            if word < 0:
-                out.append(data)
-            else:
-                run.append(np.frombuffer(data, dtype="<u4").astype(np.int32))
-        keep = t.slice(0, 1).select(list(name.values()))
-        return keep.append_column("ids", pa.array([b"".join(out)], pa.binary()))
+        bpe, t = load(path), t.sort_by("seq")
+        parts = [(p, np.frombuffer(d, dtype="<u4").astype(np.int32)) for p, d in zip(t.column("piece").to_pylist(), t.column("data").to_pylist(), strict=True)]
+        out, keep = bpe.tree_texts(parts).astype("<u4").tobytes(), t.slice(0, 1).select(list(name.values()))
+        return keep.append_column("ids", pa.array([out], pa.binary())).append_column("joins", pa.array([t.num_rows - 1], pa.int64()))
 
-    short = base.where(small).mapInArrow(lean(whole), f"{fields}ids binary")
+    short = base.where(small).mapInArrow(lean(whole), f"{fields}ids binary, joins long")
     long = base.where(~small).withColumn("t_uid", F.monotonically_increasing_id())
     long = long.select(*name.values(), "t_uid", "t")
-    pieces = long.mapInArrow(lean(cut), f"{fields}t_uid long, seq long, word long, last boolean, data binary")
+    pieces = long.mapInArrow(lean(cut), f"{fields}t_uid long, seq long, piece string")
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    done = pieces.repartition(n, "t_uid", "seq").mapInArrow(lean(piece), f"{fields}t_uid long, seq long, word long, last boolean, data binary")
-    long = done.groupBy("t_uid").applyInArrow(glue, f"{fields}ids binary")
-    return short.unionByName(long).select(*[F.col(n).alias(c) for c, n in name.items()], F.col("ids").alias(ids))
-
-
-def _pieces(bpe: WordBpe, text: str, limit: int) -> Iterator[tuple[int, bool, bytes]]:
-    """(-1, True, text of whole chunks), or (number of a long pretoken, whether its end, bytes of a leaf)."""
-    held, size, word = [], 0, 0
-    for chunk in text.replace("\n", " ").split(" "):
-        if len(chunk) <= LEAF:
-            held.append(chunk)
-            size += len(chunk) + 1
-            if size >= limit:
-                yield -1, True, " ".join(held).encode()
-                held, size = [], 0
-            continue
-        yield -1, True, " ".join(held).encode()
-        held, size = [], 0
-        for p in bpe.split(chunk):
-            if isinstance(p, int):
-                yield -1, True, bpe.texts[p].encode()
-                continue
-            parts = bpe.leaves(p.encode())
-            for k, leaf in enumerate(parts):
-                yield word, k + 1 == len(parts), leaf
-            word += 1
-    yield -1, True, " ".join(held).encode()
+    done = pieces.repartition(n, "t_uid", "seq").mapInArrow(lean(piece), f"{fields}t_uid long, seq long, piece string, data binary")
+    long = done.groupBy("t_uid").applyInArrow(glue, f"{fields}ids binary, joins long")
+    out = short.unionByName(long)
+    return out.select(*[F.col(n).alias(c) for c, n in name.items()], F.col("ids").alias(ids), *([F.col("joins").alias(joins)] if joins else []))
+
+
+def _runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of texts of about SLICE_CHARS bytes."""
+    end = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False)).astype(np.int64))
+    at = 0
+    while at < len(end):
+        to = int(np.searchsorted(end, (end[at - 1] if at else 0) + SLICE_CHARS)) + 1
+        yield at, min(to, len(end))
+        at = min(to, len(end))
 
 
 def decode_ids(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

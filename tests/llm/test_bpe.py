@@ -44,6 +44,37 @@ def test_tree_of_small_leaves(word, leaf):
     assert OWN.encode_long(word.encode(), leaf).tolist() == library(word)
 
 
+def in_pieces(text, size):
+    cut = [text[i : i + size] for i in range(0, len(text), size)]
+    return OWN.tree_texts([(t, np.frombuffer(b, "<u4").astype(np.int32)) for t, b in zip(cut, OWN.encode(cut), strict=True)]).tolist()
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.text("abcdehinorst ,.'l0\n\t<|>ÉéΣσ가ᄀ\u1161e\u0301", min_size=1, max_size=300), st.integers(1, 60))
+def test_tree_of_text_pieces(text, size):
+    assert in_pieces(text, size) == library(text)
+
+
+def test_tree_of_unsplit_text(monkeypatch):
+    monkeypatch.setattr(bpe, "UNSPLIT", 256)
+    rng, joined = np.random.default_rng(1), []
+    own = bpe.WordBpe._join_unsplit
+    monkeypatch.setattr(bpe.WordBpe, "_join_unsplit", lambda *a: joined.append((got := own(*a)) is not None) or got)
+    run = "".join(rng.choice(list("abcdehinorst"), 9000))
+    for text in (run, "<|endoftext|>" * 700, "1" * 5000, "a b " + run + ", and " + run[:4000] + "." * 3000, "the end'll " * 900, "ᄀ\u1161" * 2000, "don't" * 1500):
+        assert in_pieces(text, 1100) == library(text)
+    assert sum(joined) > 5
+
+
+def test_long_texts_are_joined(spark):
+    texts = ["the house and the garden " * 9000, "x" * 140_000, "short", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in bpe.encode_texts(df, PATH, joins="n_joins").collect()}
+    assert [got[i].n_joins for i in range(5)] == [3, 2, 0, 0, 0]
+    assert all(np.frombuffer(bytes(got[i].ids), "<u4").tolist() == library(t) for i, t in enumerate(texts))
+    assert bpe.encode_texts(df.limit(0), PATH).count() == 0
+
+
 def test_pieces_and_extra_columns(spark):
     rows = [(i, t, "q", i) for i, t in enumerate([*ODD, None, ODD[4]])]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string, t long")
