@@ -1,9 +1,17 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: an exact similarity self-join with prefixes.
+"""Operator 4 with a similarity instead of a budget of bits: documents whose word shingles have a Jaccard similarity of
+at least t.
 
-All sets are put in one order of the shingles, rare ones first. Two sets of similarity t or more then share a shingle
-within the first n - ceil(t n) + 1 of each; the pairs that share enough of these are compared in full. Pairs are taken in two rounds: each
-set with the smallest set of each of its shingles, then, of those still in different components, all others. So a
-large group of near copies isn't compared pair by pair.
+SimHash alone can't keep that bound: at a similarity of 0.8 two fingerprints differ in about 10 of 64 bits, in up to
+18 of some pairs, and so do unrelated texts of a large corpus. So links are found in three rounds, each among what
+the rounds before it left apart, and every link is checked by the exact similarity of the shingles:
+
+1. fingerprints within `max_bits` bits, by the trie self-join of `simhash`;
+2. each set with the smallest set of each shingle of its prefix;
+3. all others that share a shingle of their prefixes.
+
+Rounds 2 and 3 are an exact similarity self-join: with all sets in one order of the shingles, rare ones first, two
+sets of similarity t or more share a shingle within the first n - ceil(t n) + 1 of each; the pairs that share enough of
+these are compared. A large group of near copies is held together after round 1 or 2 and isn't compared pair by pair.
 """
 
 from __future__ import annotations
@@ -17,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlog.llm.common import lean, strings
+from lumenlog.llm.simhash import links, majority, shingle_hashes
 from lumenlog.operators.graph import connected_components
 from lumenlog.session import materialize
 
@@ -26,17 +35,8 @@ SAMPLE, COMMON = 5_000, 1 << 16
 
 
 def shingles(text: str, words: int = 5) -> np.ndarray:
-    """XXH64 (seed 42) of the distinct shingles, ascending; a text of up to `words` words is one, a blank one none."""
-    own = text.encode("utf-8", "surrogatepass").lower().split()
-    if not own:
-        return np.array([], dtype=np.uint64)
-    flat, h = b" ".join(own), xxhash.xxh64_intdigest
-    if len(own) <= words:
-        return np.array([h(flat, 42)], dtype=np.uint64)
-    size = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) + 1
-    end = np.cumsum(size) - 1
-    a, b = (end - size + 1)[: len(own) - words + 1].tolist(), end[words - 1 :].tolist()
-    return np.unique(np.fromiter((h(flat[i:j], 42) for i, j in zip(a, b, strict=True)), dtype=np.uint64, count=len(a)))
+    """The hashes of the distinct shingles, ascending."""
+    return np.unique(shingle_hashes(text, words))
 
 
 def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,29 +56,34 @@ def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(docs: DataFrame, words: int, items: str, pick) -> DataFrame:
-    """doc_id, class (a hash of the set), n and `items` (what `pick` keeps of the shingles) of every row."""
+    """doc_id, class (a hash of the set), n, fingerprint and `items` (what `pick` keeps of the shingles) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t, words) for t in strings(b.column("text"))]
-            classes = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], dtype=np.uint64).view(np.int64)
-            n = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
-            kept = [pick(s) for s in sets]
+            classes, n, prints, kept = [], [], [], []
+            for t in strings(b.column("text")):
+                every = shingle_hashes(t, words)
+                own = np.unique(every)
+                classes.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
+                n.append(len(own))
+                prints.append(majority(every))
+                kept.append(pick(own))
             ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, kept), dtype=np.int64, count=len(kept)))])
             flat = np.concatenate([np.array([], dtype=np.uint64), *kept]).view(np.int64)
             lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(flat)).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(classes), pa.array(n), lists], names=["doc_id", "class", "n", items])
+            longs = (pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (classes, n, prints))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *longs, lists], names=["doc_id", "class", "n", "fingerprint", items])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), f"doc_id long, class long, n long, {items} array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), f"doc_id long, class long, n long, fingerprint long, {items} array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, class, n and items (all shingles) of every row."""
+    """doc_id, class, n, fingerprint and items (all shingles) of every row."""
     return _sets(docs, words, "items", lambda s: s)
 
 
 def prefixes(docs: DataFrame, words: int = 5, least: tuple[int, int] = (4, 5)) -> DataFrame:
-    """doc_id, class, n and lead (the first n - ceil(t n) + 1 shingles in the common order) of every row."""
+    """doc_id, class, n, fingerprint and lead (the first n - ceil(t n) + 1 shingles in the common order) of every row."""
     known = docs.sparkSession.sparkContext.broadcast(_common(docs, words))
     p, q = least
 
@@ -92,18 +97,27 @@ def prefixes(docs: DataFrame, words: int = 5, least: tuple[int, int] = (4, 5)) -
     return _sets(docs, words, "lead", pick)
 
 
-def similar_documents(docs: DataFrame, words: int = 5, least: tuple[int, int] = (4, 5)) -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, least: tuple[int, int] = (4, 5), max_bits: int = 4) -> DataFrame:
     """doc_id and component_id of every row of `docs`: rows are linked when the Jaccard similarity of their shingles is
     at least the fraction `least`, and component_id is the smallest doc_id that links reach (null only where no row of
-    the component has a doc_id). Blank texts are alike; repeated rows stay; further columns are not read."""
+    the component has a doc_id). `max_bits` decides what the first round finds, never the result. Null and blank texts
+    are alike; repeated rows stay; an empty table gives no rows; further columns are not read."""
     p, q = least
     if not 0 < p <= q:
         raise ValueError("least has to be over 0 and at most 1")
     sets = materialize(prefixes(docs, words, least), "sets")
+    # Round 1: of the sets with one fingerprint the smallest stands for it, and each other is compared with that.
+    alone = materialize(sets.where("n > 0").select("fingerprint", "class").distinct(), "classes")
+    prints = materialize(alone.groupBy("fingerprint").agg(F.min("class").alias("low")), "prints")
+    near = materialize(links(prints.select("fingerprint"), prints.count(), max_bits), "near")
+    one = lambda k: prints.select(F.col("fingerprint").alias(k), F.col("low").alias(f"low_{k}"))
+    near = near.join(one("a"), "a").join(one("b"), "b").select(F.least("low_a", "low_b").alias("a"), F.greatest("low_a", "low_b").alias("b"))
+    same = alone.join(prints, "fingerprint").where("low <> class").select(F.col("low").alias("a"), F.col("class").alias("b"))
+
     rows = sets.where("n > 0").select("class", "n", F.explode("lead").alias("s"))
     # What is joined with a large table is written first: where it is small it is broadcast and the table stays in place.
     shared = rows.groupBy("s").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("s", "low")
-    hits = materialize(rows.join(materialize(shared, "shared"), "s").distinct(), "hits")
+    hits = materialize(rows.join(materialize(shared, "shared"), "s").distinct(), "hits")  # class, n, s, low
 
     def candidates(a: DataFrame, b: DataFrame, apart: Column) -> DataFrame:
         a, b = (x.select(*[F.col(c).alias(c + k) for c in x.columns if c != "s"], "s") for x, k in ((a, "_a"), (b, "_b")))
@@ -124,13 +138,20 @@ def similar_documents(docs: DataFrame, words: int = 5, least: tuple[int, int] =
         both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("items_a", "items_b")))
         return both.where(f"{q} * common >= {p} * (n_a + n_b - common)").select("a", "b")
 
-    first = materialize(alike(candidates(hits.where("class = low"), hits.where("class <> low"), F.lit(True))), "links")
-    known = connected_components(first, "a", "b")
-    named = hits.join(known, F.col("class") == F.col("node"), "left").select("class", "n", "s", F.coalesce("component", "class").alias("part"))
-    mixed = named.groupBy("s").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("s")
-    named = materialize(named.join(mixed, "s", "left_semi"), "named")
-    second = materialize(alike(candidates(named, named, F.col("part_a") < F.col("part_b"))), "links")
-    comps = connected_components(first.unionByName(second), "a", "b")
+    def named(links: DataFrame) -> DataFrame:
+        """The hits with the component that their set is in by the links so far."""
+        known = connected_components(links, "a", "b")
+        return hits.join(known, F.col("class") == F.col("node"), "left").select("class", "low", "n", "s", F.coalesce("component", "class").alias("part"))
+
+    found = materialize(alike(near.unionByName(same).distinct()), "links")
+    own = materialize(named(found), "named")
+    star = candidates(own.where("class = low"), own.where("class <> low"), F.col("part_a") != F.col("part_b"))
+    found = found.unionByName(materialize(alike(star), "links"))
+    own = materialize(named(found), "named")
+    mixed = own.groupBy("s").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("s")
+    own = materialize(own.join(mixed, "s", "left_semi"), "named")
+    found = found.unionByName(materialize(alike(candidates(own, own, F.col("part_a") < F.col("part_b"))), "links"))
+    comps = connected_components(found, "a", "b")
     classes = sets.groupBy("class").agg(F.min("doc_id").alias("low"))
     linked = classes.join(comps, F.col("class") == F.col("node"), "left").select("class", "low", F.coalesce("component", "class").alias("component"))
     lows = linked.groupBy("component").agg(F.min("low").alias("component_id"))

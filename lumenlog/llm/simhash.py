@@ -33,23 +33,31 @@ CHUNK = 1 << 16
 FRONT = 1 << 20
 
 
-def fingerprint(text: str, words: int = 4) -> int:
-    """64-bit SimHash: bit i is set if it is set in over half of the shingles' XXH64 (seed 42)."""
+def shingle_hashes(text: str, words: int = 4) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle, repeats included; a text of up to `words` words is one, a blank one none."""
     own = text.encode("utf-8", "surrogatepass").lower().split()
     if not own:
-        return 0
+        return np.array([], dtype=np.uint64)
     flat, h = b" ".join(own), xxhash.xxh64_intdigest
     if len(own) <= words:
-        return h(flat, 42)
+        return np.array([h(flat, 42)], dtype=np.uint64)
     size = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) + 1
     end = np.cumsum(size) - 1
-    start = end - size + 1
-    a, b = start[: len(own) - words + 1].tolist(), end[words - 1 :].tolist()
+    a, b = (end - size + 1)[: len(own) - words + 1].tolist(), end[words - 1 :].tolist()
+    return np.fromiter((h(flat[i:j], 42) for i, j in zip(a, b, strict=True)), dtype="<u8", count=len(a))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; 0 without any."""
     bits = np.zeros(64, dtype=np.int64)
-    for k in range(0, len(a), CHUNK):
-        got = np.array([h(flat[i:j], 42) for i, j in zip(a[k : k + CHUNK], b[k : k + CHUNK], strict=True)], dtype="<u8")
-        bits += np.unpackbits(got.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(bits * 2 > len(a), bitorder="little").view("<u8")[0])
+    for k in range(0, len(hashes), CHUNK):
+        bits += np.unpackbits(hashes[k : k + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(bits * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str, words: int = 4) -> int:
+    """64-bit SimHash: bit i is set if it is set in over half of the shingles' XXH64 (seed 42)."""
+    return majority(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:

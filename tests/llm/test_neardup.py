@@ -43,6 +43,13 @@ def test_agrees_with_brute_force(spark, monkeypatch, common):
     assert got == want and 20 < sum(d != c for d, c in want.items()) < len(rows) - 20
 
 
+def test_first_round_decides_nothing(spark):
+    rows = [r for r in enumerate(texts()) if r[0] % 3]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in N.similar_documents(df, max_bits=12).collect()}
+    assert got == slow_groups(rows)
+
+
 def test_odd_tables(spark):
     rows = [(5, None), (3, ""), (4, "a b c d e f"), (4, "a b c d e f"), (None, "z"), (9, "x " * 50000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
