@@ -32,9 +32,9 @@ from lumenlog.llm.common import lean, slices, strings
 #: Pretokens of more bytes than this are encoded as a tree of leaves of at most this many bytes.
 LEAF = 512
 #: Characters encoded together; bounds the memory of a task.
-SLICE_CHARS = 1 << 21
+SLICE_CHARS = 1 << 19
 #: Pretokens kept with their ids; the cache is emptied when full.
-CACHE = 400_000
+CACHE = 200_000
 #: Characters at either side of a seam that are re-encoded first, and beyond which a seam within one pretoken is joined by tokens.
 WINDOW, UNSPLIT = 64, 2048
 _NONE = np.int32(2**31 - 1)
