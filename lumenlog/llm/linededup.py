@@ -5,10 +5,15 @@ exact reference counts. `filters` has a cuckoo filter per shard, which holds the
 refer to; insertions add the keys that become shared, deletions take out those that no longer are, so a deleted
 document leaves no trace. Applying the state screens the references by the filters, and only what they let through
 is looked up in the exact counts: a filter's false positive costs a lookup and never a line.
+
+References meet their shard's filter by a shuffle, a filter a part of at most about PART references (of one key too: parts are
+dealt by doc_id), so neither the filters nor their number is bounded by what could be broadcast. Shards are doubled and
+filters made anew when keys outgrow them.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +29,8 @@ BLANK = " \t\n\x0b\x0c\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Keys of fewer code points are never dropped.
 MIN_CHARS = 10
-#: Keys a shard's filter holds on average.
-SHARD = 1 << 18
-#: Filters of more bytes than this together aren't sent to the tasks; every reference is then looked up exactly.
-MAX_FILTER_BYTES = 64 << 20
+#: Keys a shard's filter holds on average (a filter has room for twice as many), and references that a copy of it screens.
+SHARD, PART = 1 << 14, 1 << 15
 #: A key that this share of all references has is hot: there are at most 1 / HOT_SHARE, and each is joined in SALTS parts.
 HOT_SHARE, SALTS = 1 / 1000, 64
 
@@ -44,7 +47,7 @@ class Cuckoo:
     def __init__(self, size: int, slots: np.ndarray | None = None, over: list[int] | None = None):
         n = 1 << max(2, int(np.ceil(np.log2(max(1, size) / 3.4))))
         self.slots = np.zeros((n, 4), dtype=np.uint16) if slots is None else slots
-        self.over = list(over or [])
+        self.over = Counter(over or [])
 
     @property
     def mask(self) -> np.uint64:
@@ -83,13 +86,13 @@ class Cuckoo:
                 return
         for at, s in reversed(moves):
             t, self.slots[at, s] = int(self.slots[at, s]), t
-        self.over.append(h)
+        self.over[h] += 1
 
     def remove(self, h: np.ndarray) -> None:
         tag, a, b = self._places(h)
         for t, i, j, k in zip(tag.tolist(), a.tolist(), b.tolist(), h.tolist(), strict=True):
-            if k in self.over:
-                self.over.remove(k)
+            if self.over[k] > 0:
+                self.over[k] -= 1
                 continue
             for at in (i, j):
                 own = np.flatnonzero(self.slots[at] == t)
@@ -100,10 +103,10 @@ class Cuckoo:
     def has(self, h: np.ndarray) -> np.ndarray:
         tag, a, b = self._places(h)
         found = (self.slots[a] == tag[:, None]).any(1) | (self.slots[b] == tag[:, None]).any(1)
-        return found | np.isin(h, np.array(self.over, dtype=np.uint64)) if self.over else found
+        return found | np.isin(h, np.array([*self.over.elements()], dtype=np.uint64)) if self.over else found
 
     def to_bytes(self) -> bytes:
-        return len(self.slots).to_bytes(8, "little") + self.slots.astype("<u2").tobytes() + np.array(self.over, dtype="<u8").tobytes()
+        return len(self.slots).to_bytes(8, "little") + self.slots.astype("<u2").tobytes() + np.array([*self.over.elements()], dtype="<u8").tobytes()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> Cuckoo:
@@ -170,15 +173,18 @@ class LineIndex:
     def _moved(self, refs: DataFrame) -> LineIndex:
         """The state for `refs`: each shard's filter gets what became shared and loses what no longer is."""
         now = materialize(self._shared(refs), "counts")
-        old = self.counts if self.refs is not None else now.limit(0)
-        shards = self.shards or max(1, -(-now.count() // SHARD))
+        shards, n = self.shards, now.count()
+        if shards == 0 or n > 3 * SHARD * shards // 2:  # all filters anew
+            shards, old, prior = 1 << max(0, (-(-n // SHARD) - 1).bit_length()), now.limit(0), None
+        else:
+            old, prior = self.counts, self.filters
         keys = now.select("k1", "k2", F.lit(1).alias("s")).unionByName(old.select("k1", "k2", F.lit(-1).alias("s")))
         moves = keys.groupBy("k1", "k2").agg(F.sum("s").alias("s")).where("s <> 0").select(F.pmod("k2", F.lit(shards)).alias("shard"), "k1", "s")
-        prior = self.filters if self.filters is not None else self.spark.createDataFrame([], "shard long, filter binary")
+        prior = self.spark.createDataFrame([], "shard long, filter binary") if prior is None else prior
 
         def move(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
             h, s = left.column("k1").to_numpy().view(np.uint64), left.column("s").to_numpy()
-            f = Cuckoo.from_bytes(right.column("filter")[0].as_py()) if right.num_rows else Cuckoo(2 * max(SHARD if shards > 1 else 0, len(h)))
+            f = Cuckoo.from_bytes(right.column("filter")[0].as_py()) if right.num_rows else Cuckoo(2 * max(SHARD, len(h)))
             f.remove(h[s < 0])
             f.add(h[s > 0])
             return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "filter": pa.array([f.to_bytes()], pa.binary())})
@@ -188,25 +194,40 @@ class LineIndex:
         out.counts = now
         return out
 
+    def screened(self) -> DataFrame:
+        """doc_id, k1, k2 of the references that the filters let through."""
+        parts = max(1, -(-self.refs.count() // (PART * self.shards)))
+        none = lambda kind: F.lit(None).cast(kind)
+        shard = F.pmod("k2", F.lit(self.shards))
+        own = self.refs.select(shard.alias("shard"), F.pmod(F.xxhash64("doc_id", "k1"), F.lit(parts)).alias("part"), none("binary").alias("filter"), "doc_id", "k1", "k2")
+        each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
+        filters = self.filters.select("shard", each.alias("part"), "filter", *[none("long").alias(c) for c in ("doc_id", "k1", "k2")])
+        # A part's filter comes before its references.
+        dealt = own.unionByName(filters).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("filter").isNull())
+
+        def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, f = None, None
+            for b in batches:
+                place = np.stack([b.column("shard").to_numpy(), b.column("part").to_numpy()])
+                edge = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+                for i, j in zip(edge[:-1], edge[1:], strict=True):
+                    if i == j:
+                        continue
+                    if at != (own_place := tuple(place[:, i].tolist())):
+                        at, f = own_place, None
+                    if b.column("filter")[i].is_valid:
+                        f, i = Cuckoo.from_bytes(b.column("filter")[i].as_py()), i + 1
+                    if f is None or i == j:  # no key of the shard is shared
+                        continue
+                    refs = b.slice(i, j - i)
+                    keep = pa.array(f.has(refs.column("k1").to_numpy().view(np.uint64)))
+                    yield pa.RecordBatch.from_arrays([refs.column(c).filter(keep) for c in ("doc_id", "k1", "k2")], names=["doc_id", "k1", "k2"])
+
+        return dealt.mapInArrow(lean(screen), "doc_id long, k1 long, k2 long")
+
     def dropped(self) -> DataFrame:
         """doc_id, k1, k2 of the lines to drop: shared keys, in all documents but the smallest."""
-        refs, size = self.refs, self.filters.agg(F.sum(F.length("filter"))).first()[0] or 0
-        if size <= MAX_FILTER_BYTES:
-            loaded = {r.shard: bytes(r.filter) for r in self.filters.collect()}
-            sent, shards = self.spark.sparkContext.broadcast(loaded), self.shards
-
-            def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                own = {k: Cuckoo.from_bytes(v) for k, v in sent.value.items()}
-                for b in batches:
-                    k1, shard = b.column("k1").to_numpy().view(np.uint64), b.column("k2").to_numpy() % shards
-                    keep = np.zeros(len(k1), dtype=bool)
-                    for s in np.unique(shard).tolist():
-                        if s in own:
-                            at = shard == s
-                            keep[at] = own[s].has(k1[at])
-                    yield b.filter(pa.array(keep))
-
-            refs = refs.select("doc_id", "k1", "k2").mapInArrow(lean(screen), "doc_id long, k1 long, k2 long")
+        refs = self.screened()
         # Hot keys are at most 1 / HOT_SHARE rows, whatever the input; their references are dealt by doc_id.
         hot = materialize(self.counts.where(F.col("n_docs") > F.lit(HOT_SHARE * self.refs.count())).select("k1", "k2", F.lit(True).alias("hot")), "hot")
         salt = lambda value, cold: F.when(F.col("hot"), value).otherwise(cold)
@@ -219,9 +240,11 @@ class LineIndex:
         """`docs` with text_kept, n_lines and n_dropped; columns of these names are replaced."""
         rest = [c for c in docs.columns if c not in ("text_kept", "n_lines", "n_dropped")]
         name = {c: f"c{i}" for i, c in enumerate(rest)}
-        base = docs.select(F.col("doc_id").cast("long").alias("join_id"), F.col("text").alias("join_text"), *[F.col(f"`{c}`").alias(n) for c, n in name.items()])
-        gone = self.dropped().distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("k1", "k2"))).alias("gone")).withColumnRenamed("doc_id", "join_id")
-        joined = base.join(gone.hint("shuffle_hash"), "join_id", "left").withColumn("his", F.col("gone.k1")).withColumn("los", F.col("gone.k2"))
+        # Rows without a doc_id meet nothing; the second key keeps them from being sent to one task.
+        spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+        base = docs.select(F.col("doc_id").cast("long").alias("join_id"), spread.alias("join_part"), F.col("text").alias("join_text"), *[F.col(f"`{c}`").alias(n) for c, n in name.items()])
+        gone = self.dropped().distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("k1", "k2"))).alias("gone")).withColumnRenamed("doc_id", "join_id").withColumn("join_part", F.lit(0).cast("long"))
+        joined = base.join(gone.hint("shuffle_hash"), ["join_id", "join_part"], "left").withColumn("his", F.col("gone.k1")).withColumn("los", F.col("gone.k2"))
         kinds = {f.name: f.dataType.simpleString() for f in base.schema}
         # A text that is kept as a column of `docs` too goes through once.
         name.pop("text", None)
@@ -257,7 +280,8 @@ def _signed(pair: tuple[int, int]) -> tuple[int, int]:
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """`docs` with text_kept, n_lines and n_dropped, over all of its rows.
 
-    A null text is one empty line. Rows with one doc_id are one document. Rows without a doc_id keep their lines.
-    A document whose lines are all dropped has the empty text.
+    A null text is one empty line. Rows with one doc_id are one document; each row of it has its own lines. Rows
+    without a doc_id keep their lines. A document whose lines are all dropped has the empty text; an empty table
+    gives no rows.
     """
     return LineIndex(docs.sparkSession, min_chars=min_chars).insert(docs).apply(docs)

@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pytest
 
 from lumenlog.llm import linededup as L
 
@@ -76,10 +77,21 @@ def test_cuckoo_filter():
     assert full.has(h[:100]).all() and full.over
 
 
-def test_without_filters_in_the_tasks(spark, monkeypatch):
-    monkeypatch.setattr(L, "MAX_FILTER_BYTES", -1)
-    df = spark.createDataFrame(ROWS, "doc_id long, text string")
-    assert rows(L.dedup_lines(df)) == slow(ROWS)
+@pytest.mark.parametrize("shard, part", [(2, 1 << 15), (1 << 14, 3), (1, 1)])
+def test_small_shards_and_parts(spark, monkeypatch, shard, part):
+    monkeypatch.setattr(L, "SHARD", shard)
+    monkeypatch.setattr(L, "PART", part)
+    df = spark.createDataFrame([*ROWS, *((None, f"a line of nobody {i}") for i in range(20))], "doc_id long, text string")
+    assert rows(L.dedup_lines(df)) == slow([*ROWS, *((None, f"a line of nobody {i}") for i in range(20))])
+
+
+def test_filters_grow(spark, monkeypatch):
+    monkeypatch.setattr(L, "SHARD", 256)
+    many = [(i, f"the line of a pair {i // 2}\nand a line that all have\nown line {i}") for i in range(10_000)]
+    make = lambda x: spark.createDataFrame(x, "doc_id long, text string")
+    index = L.LineIndex(spark).insert(make(many[:1])).insert(make(many[1:]))
+    assert index.shards >= 10 and all(not L.Cuckoo.from_bytes(bytes(r.filter)).over for r in index.filters.collect())
+    assert rows(index.apply(make(many))) == slow(many)
 
 
 def test_op9_query_against_brute_force(spark, sf):
