@@ -233,18 +233,20 @@ def predict_texts(model: Model, texts: list[str], spans: bool = False) -> Iterat
 
 
 def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> Model | None:
-    """A model of (text, lang) rows; None if there is no row with both. About `fit_docs` rows of each language are
-    read, chosen by a hash of their text; counts are added up before anything is gathered."""
+    """A model of (text, lang) rows; None if there is no row with both, as in an empty table. About `fit_docs` different
+    texts of each language are read, chosen by a hash of the text; a text that a language has more than once counts
+    once. Counts are added up before anything is gathered."""
     rows = labelled.select("text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
+    rows = rows.withColumn("h", F.xxhash64("text", F.lit("fit")))
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).limit(MAX_LANGS + 1).collect()}
     if len(sizes) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     if not sizes:
         return None
     langs = sorted(sizes)
-    part = F.pmod(F.xxhash64("text", F.lit("fit")), F.lit(1_000_000))
-    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1_000_000, -(-1_000_000 * fit_docs // sizes[k]))))])
-    chosen = rows.where(part < share[F.col("lang")])
+    part = F.pmod("h", F.lit(1_000_000))
+    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1_000_000, -(-1_000_000 * fit_docs // max(1, sizes[k])))))])
+    chosen = rows.where(part < share[F.col("lang")]).groupBy("lang", "h").agg(F.first("text").alias("text")).select("text", "lang")
     width = len(NAMES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +284,7 @@ def identify(docs: DataFrame, model: Model | None, spans: bool = False) -> DataF
     """`docs` with lang_pred, score and, if asked for, spans (start, end, lang; in code points); columns of these
     names are replaced. A text that is null or has no letter is `und` with score 0; one with letters of scripts only
     that no language was seen in gets the language with most training letters and score 0; so does, as `und`, every
-    text without a model."""
+    text without a model. Every row is judged by itself: repeated rows get the same, an empty table gives no rows."""
     rest = [c for c in docs.columns if c not in ("lang_pred", "score", "spans")]
     name = {c: f"c{i}" for i, c in enumerate(rest)}
     base = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in name.items()])

@@ -2,6 +2,8 @@ import zlib
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from lumenlog.llm import langid as L
 
 TEXTS = {
@@ -70,3 +72,13 @@ def test_odd_tables(spark):
     assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score", "spans"] and out.count() == 4
     assert L.language_id(df.limit(0)).count() == 0
     assert {r.lang_pred for r in L.identify(df, None).collect()} == {"und"}
+
+
+def test_a_text_that_repeats_counts_once(spark):
+    rows = [(i, TEXTS["en"], "en") for i in range(3000)] + [(5000 + i, TEXTS["de"] + f" haus {i}", "de") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for extra in ("", " or", " and the", " of a"):
+        own = df.withColumn("text", F.when(F.col("lang") == "en", F.concat("text", F.lit(extra))).otherwise(F.col("text")))
+        m = L.fit(own, fit_docs=100)
+        assert m.langs == ["de", "en"] and np.ptp(m.scores[:, 1]) > 0  # some of its letters were learned
+    assert next(L.predict_texts(m, [TEXTS["de"]]))[0] == "de"
