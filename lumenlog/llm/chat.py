@@ -36,6 +36,8 @@ ALIASES = {
 MARKER = re.compile(r"^\s*(?:<\|(?:im_start\|>)?|\[|#{1,4}\s*|\*\*)?([A-Za-z]{1,12})(?:\|>|\]|\*\*)?\s*(:|\|>|\]|$)\s*")
 #: Rows (about; chosen by a hash) whose speakers are learned from.
 FIT_ROWS = 50_000
+#: Rows and characters that a partition holds (about).
+PART_ROWS, PART_CHARS = 20_000, 16 << 20
 #: Counts added to every event.
 SMOOTH = 0.5
 N = len(ROLES)
@@ -131,7 +133,10 @@ def _ordered(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int64()), pa.array(range(at, at + n), pa.int64()), *b.columns[:4]], names=["part", "seq", "conv", "turn", "role", "text"])
             at += n
 
-    dealt = own.repartitionByRange(*map(F.col, keys)).sortWithinPartitions(*keys)
+    size = own.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("c")).first()
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = min(max(1, size.n), max(least, -(-size.n // PART_ROWS), -(-size.c // PART_CHARS)))
+    dealt = own.repartitionByRange(n, *map(F.col, keys)).sortWithinPartitions(*keys)
     return materialize(dealt.mapInArrow(number, "part long, seq long, conv long, turn long, role string, text string"), "chats")
 
 
@@ -141,25 +146,32 @@ def fit(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "r
 
 
 def _fit(ordered: DataFrame) -> Hmm:
-    n = ordered.count()
+    # The last row of every partition, which is the one before the next partition's first.
+    ends = ordered.groupBy("part").agg(F.max_by(F.struct("conv", "role"), "seq").alias("z"), F.count("*").alias("n")).collect()  # as many as partitions
+    n = sum(r.n for r in ends)
     share = 1.0 if n <= FIT_ROWS else FIT_ROWS / n
+    prior, last_end = {}, None
+    for r in sorted(ends, key=lambda r: r.part):
+        prior[r.part], last_end = last_end, (r.z.conv, r.z.role)
+
+    def known(role: str | None) -> int | None:
+        name = (role or "").strip().lower()
+        return ROLES.index(ALIASES[name]) if name in ALIASES else None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, turns, emit = np.zeros(N), np.zeros((N, N)), [np.zeros((N, w)) for w in WIDTHS]
-        last: tuple = (None, None, None)
+        before = None  # conversation and role number of the row before; None before the first row of all
         for b in batches:
             for part, seq, conv, role, text, take in zip(*(b.column(c).to_pylist() for c in ("part", "seq", "conv", "role", "text", "take")), strict=True):
-                name = (role or "").strip().lower()
-                if name not in ALIASES:
-                    last = (None, None, None)
-                    continue
-                k = ROLES.index(ALIASES[name])
-                if last[0] == (part, seq - 1) and last[1] == conv:
-                    turns[last[2], k] += 1
-                elif seq:
+                if seq == 0:
+                    before = prior[part] and (prior[part][0], known(prior[part][1]))
+                k = known(role)
+                if k is not None and (before is None or before[0] != conv):
                     start[k] += 1
-                last = ((part, seq), conv, k)
-                if take:
+                elif k is not None and before[1] is not None:
+                    turns[before[1], k] += 1
+                before = (conv, k)
+                if take and k is not None:
                     f, _ = features(text, None)
                     for j, w in enumerate(WIDTHS):
                         emit[j][k] += np.bincount(f[:, j], minlength=w)

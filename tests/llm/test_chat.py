@@ -83,3 +83,20 @@ def test_odd_tables(spark):
     got = C.parse(spark.createDataFrame([(*r, 1) for r in rows], SCHEMA + ", part int")).collect()
     assert len(got) == 4 and any("a<| im_end |>b" in r.rendered for r in got)
     assert C.parse(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_model_and_roles_do_not_depend_on_partitions(spark, sf):
+    df = spark.read.parquet(f"{sf}/conversations.parquet")
+    models, kept = [], spark.conf.get("spark.sql.shuffle.partitions")
+    for n in (1, 8, 200):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        models.append(C.fit(df, "conv_id", "turn", "role", "text"))
+    spark.conf.set("spark.sql.shuffle.partitions", kept)
+    for m in models[1:]:
+        assert (m.start == models[0].start).all() and (m.turn == models[0].turn).all() and all((a == b).all() for a, b in zip(m.emit, models[0].emit, strict=True))
+
+
+def test_long_texts(spark):
+    df = spark.createDataFrame([(1, 0, None, "User: hi\n" + "a line?\n" * 20_000), (1, 1, "assistant", "x" * 500_000)], SCHEMA)
+    got = C.parse(df, C.fit(df)).orderBy("turn", "part").collect()
+    assert sum(r.n_lines for r in got) == 20_003 and got[-1].role == "assistant"
