@@ -30,6 +30,8 @@ class Trie:
 
     def __init__(self, rules: list[tuple[str, str, str]]):
         self.root: dict = {}
+        self.rules = rules
+        lists = []
         for k, (host, path, verdict) in enumerate(rules):
             node = self.root
             for label in reversed(host.split(".")):
@@ -38,8 +40,10 @@ class Trie:
             *full, rest = path.split("/")
             for seg in full:
                 node = node.setdefault(seg, {})
-            ends = node.setdefault(1, [])
-            ends.append((rest, verdict == "block", k))
+            if 1 not in node:
+                lists.append(node.setdefault(1, []))
+            node[1].append((rest, verdict == "block", k))
+        for ends in lists:
             ends.sort(key=lambda e: (-len(e[0]), not e[1]))
 
     def match(self, host: str, path: str) -> int:
@@ -66,30 +70,32 @@ class Trie:
 
 def judge(df: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """`df` with host, path, rule (host and path of the winning rule, null if none fits) and verdict (`default`
-    without a rule); columns of these names are replaced. `rules`: (host, path, verdict), as a list or a DataFrame.
+    without a rule); columns of these names are replaced. `rules`: (host, path, verdict), as a list or a DataFrame; a
+    rule without a host, path or verdict fits nothing. A null or empty url, and one without ://, has an empty host and
+    path. Urls may be of any length; repeated rows stay; an empty table gives no rows.
     """
     spark = df.sparkSession
     df = df.drop("host", "path", "rule", "verdict")
     if isinstance(rules, DataFrame):
+        rules = rules.select("host", "path", "verdict").na.drop()
         longest = rules.agg(F.count("*"), F.max(F.length("host") + F.length("path"))).first()
         if longest[0] > MAX_RULES or (longest[1] or 0) > MAX_RULE_CHARS:
             return _joined(df, rules, url, default)
-        rules = [(r.host, r.path, r.verdict) for r in rules.select("host", "path", "verdict").collect()]
-    elif len(rules) > MAX_RULES:
-        return _joined(df, spark.createDataFrame(rules, SCHEMA), url, default)
+        rules = [(r.host, r.path, r.verdict) for r in rules.collect()]
+    else:
+        rules = [r for r in rules if None not in r]
+        if len(rules) > MAX_RULES or any(len(h) + len(p) > MAX_RULE_CHARS for h, p, _ in rules):
+            return _joined(df, spark.createDataFrame(rules, SCHEMA), url, default)
     trie = spark.sparkContext.broadcast(Trie(rules))
 
-    @F.pandas_udf("int")
-    def number(hosts: pd.Series, paths: pd.Series) -> pd.Series:
-        match = trie.value.match
-        return pd.Series([match(h, p) for h, p in zip(hosts, paths, strict=True)], dtype="int32")
-
-    texts = F.array(*[F.lit(h + p) for h, p, _ in rules]) if rules else F.array().cast("array<string>")
-    says = F.array(*[F.lit(v) for *_, v in rules]) if rules else F.array().cast("array<string>")
-    out = url_parts(df, url).withColumn("rule_number", number("host", "path"))
-    rule = F.when(F.col("rule_number") >= 0, F.get(texts, F.col("rule_number")))
-    verdict = F.when(F.col("rule_number") >= 0, F.get(says, F.col("rule_number"))).otherwise(default)
-    return out.withColumn("rule", rule).withColumn("verdict", verdict).drop("rule_number")
+    @F.pandas_udf("rule string, verdict string")
+    def winner(hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
+        match, own = trie.value.match, trie.value.rules
+        won = [own[k] if (k := match(h, p)) >= 0 else None for h, p in zip(hosts, paths, strict=True)]
+        return pd.DataFrame({"rule": pd.Series([w and w[0] + w[1] for w in won], dtype=object), "verdict": pd.Series([w[2] if w else default for w in won], dtype=object)})
+
+    out = url_parts(df, url).withColumn("winner", winner("host", "path"))
+    return out.withColumn("rule", F.col("winner.rule")).withColumn("verdict", F.col("winner.verdict")).drop("winner")
 
 
 def _joined(df: DataFrame, rules: DataFrame, url: str, default: str) -> DataFrame:
