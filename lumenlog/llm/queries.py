@@ -69,7 +69,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10, slop=0)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,19 +125,28 @@ dw AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM documents),
 tok AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM dw),
 gram AS (
-  SELECT doc_id, i, string_agg(w, ' ') OVER r AS g, count(*) OVER r AS n FROM tok
+  SELECT doc_id, i, w, string_agg(w, ' ') OVER r AS g, count(*) OVER r AS n FROM tok
   WINDOW r AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
 m AS (
   SELECT doc_id, i, win.n, item_id FROM gram JOIN win ON win.n = 10 AND gram.n = 10 AND gram.g = win.g
   UNION ALL
   SELECT doc_id, i, win.n, item_id FROM gram JOIN win ON win.n < 10 AND starts_with(gram.g || ' ', win.g || ' ')),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY 1),
+bag AS (SELECT doc_id, i, w, g, n, array_to_string(list_sort(string_split(g, ' ')), ' ') AS b FROM gram),
+wbag AS (SELECT item_id, n, array_to_string(list_sort(string_split(g, ' ')), ' ') AS b FROM win),
+nm AS (
+  SELECT doc_id, item_id FROM bag JOIN wbag ON wbag.n = 10 AND bag.n = 10 AND bag.b = wbag.b
+  UNION ALL
+  SELECT doc_id, item_id FROM bag JOIN wbag ON wbag.n < 10 AND list_contains(string_split(wbag.b, ' '), w)
+    AND array_to_string(list_sort((string_split(bag.g, ' '))[1 : wbag.n]), ' ') = wbag.b),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM nm GROUP BY 1),
 it AS (
   SELECT doc_id, count(*) AS n_items, sha256(string_agg(s, ',' ORDER BY s)) AS sha
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY 1)
 SELECT dw.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN hit ON dw.doc_id = hit.doc_id LEFT JOIN it ON dw.doc_id = it.doc_id
+       coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM dw LEFT JOIN hit ON dw.doc_id = hit.doc_id LEFT JOIN near ON dw.doc_id = near.doc_id LEFT JOIN it ON dw.doc_id = it.doc_id
 """,
     "op9_line_dedup": f"""
 WITH lines AS (

@@ -1,8 +1,10 @@
+import collections
 import hashlib
 import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lumenlog.llm import decontam, hamming, urlfilter
@@ -50,13 +52,36 @@ def test_contamination_against_brute_force(spark):
     assert decontam.contamination(a.limit(0), b).count() == 0
 
 
-def test_proximity(spark):
-    items = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
-    docs = spark.createDataFrame([(1, "one two three four"), (2, "two one and three four"), (3, "one x x x x two three four"), (4, "one two three")], "doc_id long, text string")
-    wins, _ = decontam.windows(items, 4)
-    near = {(r.doc_id, r.exact) for r in decontam.phrase_matches(docs, wins, 4, slop=2).collect()}
-    assert (1, True) in near and (2, False) in near and {d for d, _ in near} == {1, 2}
-    assert {r.doc_id for r in decontam.phrase_matches(docs, wins, 4).collect()} == {1}
+def slow_near(docs, wins, slop):
+    out = set()
+    for d, t in docs:
+        w = words(t)
+        for wid, own in wins.items():
+            need = collections.Counter(own)
+            for s in range(len(w)):
+                if w[s] in need and not need - collections.Counter(w[s : s + len(own) + slop]):
+                    out.add((d, wid, s, w[s : s + len(own)] == own))
+    return out
+
+
+@pytest.mark.parametrize("slop", range(5))
+def test_proximity_against_brute_force(spark, slop):
+    rng = random.Random(slop)
+    line = lambda n: " ".join(rng.choices([*"abcdefgh", "x1"], k=n))
+    items = [(k, line(rng.choice((1, 2, 4, 5)))) for k in range(14)] + [(50, "one two three four"), (51, "a a b")]
+    docs = [(d, line(rng.randrange(30))) for d in range(40)] + [(90, "two one three four"), (91, "one x x x x two three four"), (92, "e b c d a x x"), (93, None), (94, "b a")]
+    b = spark.createDataFrame([*items, (60, "a b c d e")], "item_id long, text string")
+    wins, _ = decontam.windows(b, 5)
+    own = {r.wid: list(r.words) for r in wins.collect()}
+    got = {(r.doc_id, r.wid, r.start, r.exact) for r in decontam.phrase_matches(spark.createDataFrame(docs, "doc_id long, text string"), wins, 5, slop).collect()}
+    assert got == slow_near(docs, own, slop)
+
+
+def test_long_texts_and_words(spark):
+    docs = spark.createDataFrame([(1, "w " * 60_000 + "one two three " + "z" * 100_000), (2, "one two three")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "one two three"), (8, "three " + "z" * 100_000)], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.n_near) for r in decontam.contamination(docs, items, slop=0).collect()}
+    assert got == {1: (60_004, 4, 2, 2), 2: (3, 3, 1, 1)}
 
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("a.b", "/x", "block"), ("a.b", "/x", "allow"), ("a.b", "", "allow")]
@@ -80,6 +105,15 @@ def test_url_rules_both_ways(spark):
         assert sorted((tuple(r) for r in out.collect()), key=str) == want
     assert {r.verdict for r in urlfilter.judge(df, [], default="block").collect()} == {"block"}
     assert urlfilter.judge(df.limit(0), RULES).count() == 0
+    odd = [*RULES, (None, "/", "block"), ("com", None, "block"), ("z" * 2000, "/", "block")]
+    assert sorted(urlfilter.judge(df, odd).collect(), key=str) == sorted(urlfilter.judge(df, RULES).collect(), key=str)
+
+
+def test_many_rules_and_long_urls(spark):
+    rules = [(f"h{k}.com", f"/{k % 7}", "block") for k in range(20_000)]
+    urls = [f"http://a.h{k}.com/{k % 7}x" for k in range(0, 20_000, 400)] + ["http://h1.com/" + "x" * 200_000, "http://" + "a." * 50_000 + "h8.com/1"]
+    got = urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+    assert [r.verdict for r in sorted(got)] == ["block"] * 50 + ["allow", "block"]
 
 
 def test_top_k_against_brute_force(spark):
