@@ -100,14 +100,22 @@ def phrase_matches(docs: DataFrame, wins: DataFrame, size: int = 10, slop: int |
     found = found.select("wid", "n", "doc_id", "h", (F.col("pos") - F.col("off")).alias("start"), "words", "around", "off", "pos")
     if slop is None:
         found = found.where("start >= 0")
-    lists = postings.select(F.col("term").alias("t"), F.col("doc_id").alias("d"), F.col("h").alias("g"), F.col("pos").alias("p"))
+    # Without a slop the place is part of the key; with one the stretch of places that it is in, or the next.
+    stretch = 2 * (reach + 1)
+    slot = F.col("pos") if slop is None else F.floor(F.col("pos") / stretch)
+    lists = postings.select(F.col("term").alias("t"), F.col("doc_id").alias("d"), F.col("h").alias("g"), F.col("pos").alias("p"), slot.alias("slot"))
     for rank in range(2, anchors + 1):
         nxt = materialize(plan.where(F.col("rank") == rank).select(F.col("wid").alias("w2"), F.col("term").alias("t2"), F.col("off").alias("o2")), "anchors")
         found = found.join(_small(nxt), F.col("wid") == F.col("w2"), "left")
-        same = (F.col("t2") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))
-        same = same & (F.col("start") + F.col("o2") == F.col("p") if slop is None else F.abs(F.col("pos") - F.col("p")) < F.col("n") + slop)
-        alone = found.where("t2 is null").drop("w2", "t2", "o2")  # fewer words than anchors
-        found = found.where("t2 is not null").join(lists, same, "left_semi").drop("w2", "t2", "o2").unionByName(alone)
+        same = (F.col("t2") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")) & (F.col("at") == F.col("slot"))
+        if slop is None:
+            found = found.withColumn("at", F.col("start") + F.col("o2"))
+        else:
+            ends = F.array(*[F.floor((F.col("pos") + x) / stretch) for x in (-reach, reach)])
+            found = found.withColumn("at", F.explode(F.array_distinct(ends)))
+            same = same & (F.abs(F.col("pos") - F.col("p")) < F.col("n") + slop)
+        alone = found.where("t2 is null").drop("w2", "t2", "o2", "at")  # fewer words than anchors
+        found = found.where("t2 is not null").join(lists, same, "left_semi").drop("w2", "t2", "o2", "at").unionByName(alone)
     # `around` starts at word pos - least(pos, reach) of the document.
     origin = F.col("pos") - F.least(F.col("pos"), F.lit(reach))
     lowered = F.transform("around", lower_ascii)
@@ -116,14 +124,15 @@ def phrase_matches(docs: DataFrame, wins: DataFrame, size: int = 10, slop: int |
         part = F.slice(lowered, F.greatest(F.col("start") - origin + 1, F.lit(1)).cast("int"), F.col("n"))
         found = found.where(part == F.col("words")).withColumn("exact", F.lit(True))
         return found.select("doc_id", "h", "wid", "start", "n", "exact").distinct()
-    found = found.withColumn("origin", origin).withColumn("seen", lowered).where(F.size(F.array_except("words", "seen")) == 0)
+    near = found.select("wid", "n", "doc_id", "h", "words", "pos", origin.alias("origin"), lowered.alias("seen")).where(F.size(F.array_except("words", "seen")) == 0)
+    near = materialize(near, "near")  # few; and so that what follows reads `seen` instead of making it again for every place
     # A match holds this posting, so it starts at most n + slop - 1 words before it.
-    lead = F.greatest(F.col("pos") - F.col("n") - slop + 1, F.lit(0))
-    found = found.withColumn("from", F.explode(F.sequence(lead.cast("int"), F.col("pos"))))
-    cut = lambda n: F.slice("seen", (F.col("from") - F.col("origin") + 1).cast("int"), n)
-    found = found.where(F.array_contains("words", F.get("seen", (F.col("from") - F.col("origin")).cast("int"))))
-    found = found.where(_holds(F.col("words"), cut(F.col("n") + slop)))
-    return found.select("doc_id", "h", "wid", F.col("from").alias("start"), "n", (cut(F.col("n")) == F.col("words")).alias("exact")).distinct()
+    lead = F.greatest(F.col("pos") - F.col("n") - slop + 1, F.lit(0)).cast("int")
+    cut = lambda s: F.slice("seen", (s - F.col("origin") + 1).cast("int"), F.col("n") + slop)
+    starts = F.explode(F.transform(F.sequence(lead, F.col("pos")), lambda s: F.struct(s.alias("start"), cut(s).alias("part"))))
+    near = near.select("wid", "n", "doc_id", "h", "words", starts.alias("x")).select("wid", "n", "doc_id", "h", "words", "x.start", "x.part")
+    near = near.where(F.array_contains("words", F.get("part", F.lit(0))) & (F.size(F.array_except("words", "part")) == 0) & _holds(F.col("words"), F.col("part")))
+    return near.select("doc_id", "h", "wid", "start", "n", (F.slice("part", 1, F.col("n")) == F.col("words")).alias("exact")).distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 10, slop: int | None = None) -> DataFrame:
