@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import sys
+from itertools import chain
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -31,9 +32,20 @@ def strings(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+#: Bytes of a batch that a worker takes up at a time.
+TAKEN = 4 << 20
+
+
+def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about TAKEN bytes."""
+    n = max(1, batch.num_rows * TAKEN // max(1, batch.nbytes))
+    return (batch.slice(i, n) for i in range(0, batch.num_rows, n))
+
+
 def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """`f` for mapInArrow, in a worker that gives memory back: large arrays when they are freed, all else at the end of
-    the partition. Workers outlive their tasks, and what an idle one keeps is lost to the executor."""
+    """`f` for mapInArrow, over portions of the batches, in a worker that gives memory back: large arrays when they are
+    freed, all else at the end of the partition. Workers outlive their tasks, and what an idle one keeps is lost to the
+    executor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         libc = ctypes.CDLL(None) if sys.platform == "linux" else None
@@ -41,7 +53,7 @@ def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> C
             libc.mallopt(-3, 1 << 24)  # M_MMAP_THRESHOLD
             libc.mallopt(-1, 1 << 26)  # M_TRIM_THRESHOLD
         try:
-            yield from f(batches)
+            yield from f(chain.from_iterable(map(portions, batches)))
         finally:
             pa.default_memory_pool().release_unused()
             if hasattr(libc, "malloc_trim"):
