@@ -26,11 +26,11 @@ MIN_LANG_SCORE = 1 / 3
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned from those not held out: without letters, or with less than
     MIN_LANG_SCORE of the letters in one language, they go."""
-    # lang_pred and score would hide columns of these names, so the decision is made on a copy of the text.
-    own = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    # lang_pred and score would hide columns of these names, so the columns get others meanwhile.
+    name = {c: "text" if c == "text" else f"own{i}" for i, c in enumerate(docs.columns)}
     model = langid.fit(docs.where(~langid.held_out()))
-    kept = langid.identify(own, model).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANG_SCORE))
-    return kept.select("row.*")
+    kept = langid.identify(docs.toDF(*name.values()), model).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANG_SCORE))
+    return kept.select(*[F.col(n).alias(c) for c, n in name.items()])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
