@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -23,10 +24,11 @@ def explain(message: Column, embedding_flag: Column, size: Column, label: Column
     return F.concat(short, F.lit(" : "), F.concat_ws("; ", noise, small, F.when(F.size(fields) > 0, values)))
 
 
-def detect(logs: DataFrame, start=None, end=None, eps: float = 0.3, min_samples: int = 3, sigmas: float = 2.5, reduce: bool = False, max_explanations: int = 100, level=None, component: str | None = None) -> DataFrame:
+def detect(logs: DataFrame, start=None, end=None, eps: float = 0.3, min_samples: int = 3, sigmas: float = 2.5, reduce: bool = False, max_explanations: int = 100, level=None, component: str | None = None, explainer: Callable[..., Column] = explain) -> DataFrame:
     """The anomalous rows of a window, latest first: cluster_label, flags, deviations of numeric fields within the
     row's cluster, and for the first `max_explanations` an explanation. With `reduce`, only the pre-filtered rows are
-    looked at (all, if fewer than min_samples are left). Rows without an embedding are noise."""
+    looked at (all, if fewer than min_samples are left). Rows without an embedding are noise. `explainer` makes the
+    explanation of the columns that `explain` takes (a pandas UDF will do)."""
     own = query.filter_logs(logs, start, end, level, component)
     if reduce:
         own = prefilter.prefilter_or_all(own, min_samples)
@@ -43,7 +45,7 @@ def detect(logs: DataFrame, start=None, end=None, eps: float = 0.3, min_samples:
     out = out.withColumn("is_anomaly", F.col("is_embedding_anomaly") | F.col("is_numeric_anomaly")).where("is_anomaly")
     out = materialize(out, "anomalies")
     first = out.select("log_id", "timestamp").orderBy(F.desc("timestamp"), F.desc("log_id")).limit(max_explanations).select("log_id", F.lit(True).alias("told"))
-    text = explain(F.col("message"), F.col("is_embedding_anomaly"), F.col("cluster_size"), F.col("cluster_label"), F.col("numeric_fields"), F.col("numeric_deviations"))
+    text = explainer(F.col("message"), F.col("is_embedding_anomaly"), F.col("cluster_size"), F.col("cluster_label"), F.col("numeric_fields"), F.col("numeric_deviations"))
     out = out.join(F.broadcast(first), "log_id", "left").withColumn("explanation", F.when(F.col("told"), text)).drop("told")
     meta = {"detection_time": F.current_timestamp()}
     if start is not None and end is not None:

@@ -532,4 +532,173 @@ def _(spark, logs, d):
     return read_counts(spark, f"{at}/counts", "level").withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
+# Readers and writers, each over a file that the query writes first.
+
+
+def written(df: DataFrame, name: str, header: bool = True) -> str:
+    at = new_path(df.sparkSession, name)
+    df.write.csv(at, header=header, escape='"')
+    return at
+
+
+@register("read_logs", "SELECT component, count(*) AS n, CAST(sum(length(message)) AS BIGINT) AS chars FROM logs GROUP BY 1")
+def _(spark, logs, d):
+    rows = readers.read_logs(spark, written(logs.select(F.concat(F.lit("  "), "message").alias("Content"), "component"), "logs"))
+    return rows.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
+
+
+@register("read_headerless", "SELECT count(*) AS n, count(DISTINCT message) AS n_messages FROM logs")
+def _(spark, logs, d):
+    return readers.read_headerless(spark, written(logs.select("message"), "lines", False)).agg(F.count("*").alias("n"), F.count_distinct("Content").alias("n_messages"))
+
+
+def structured(logs: DataFrame) -> DataFrame:
+    return parsed(logs).select(F.col("log_id").alias("LineId"), F.col("message").alias("Content"), F.col("template").alias("EventTemplate"), F.col("component").alias("ParameterList.c"), F.when(F.col("log_id") % 2 == 0, F.col("level")).alias("ParameterList.l"))
+
+
+@register("read_structured", "SELECT log_id AS \"LineId\", template AS \"EventTemplate\", component AS c, CASE WHEN log_id % 2 = 0 THEN level END AS l FROM parsed", "parsed")
+def _(spark, logs, d):
+    rows = readers.read_structured(spark, written(structured(logs), "structured"))
+    return rows.select("LineId", "EventTemplate", F.col("parameters")["param_c"].alias("c"), F.col("parameters")["param_l"].alias("l"))
+
+
+@register("read_templates", "SELECT DISTINCT 'E' || length(template) AS \"EventId\", template AS \"EventTemplate\" FROM parsed", "parsed")
+def _(spark, logs, d):
+    names = parsed(logs).select(F.concat(F.lit("E"), F.length("template").cast("string")).alias("EventId"), F.col("template").alias("EventTemplate"), F.lit("x").alias("more")).distinct()
+    return readers.read_templates(spark, written(names, "templates"))
+
+
+@register("list_datasets", "SELECT * FROM (VALUES ('full', 'svc'), ('two', 'app'), ('two', 'svc')) t(kind, system)", "")
+def _(spark, logs, d):
+    at = new_path(spark, "sets")
+    for kind, system in (("two", "svc"), ("two", "app"), ("full", "svc")):
+        structured(logs).limit(2).write.csv(f"{at}/{kind}/{system}/{system}_2k.log_structured.csv", header=True)
+    return spark.createDataFrame(readers.list_datasets(spark, at), "kind string, system string")
+
+
+@register("validate_dataset", "SELECT count(*) AS n_logs, count(*) FILTER (log_id % 3 > 0) AS n_templates, count(*) FILTER (log_id % 3 > 0 AND level = 'ERROR') AS n_blank, count(*) FILTER (log_id % 3 = 0) AS n_missing FROM logs")
+def _(spark, logs, d):
+    names = logs.where("log_id % 3 > 0").select("log_id", F.when(F.col("level") != "ERROR", F.col("message")).alias("EventTemplate"))
+    return readers.validate_dataset(logs, names, "log_id")
+
+
+@register("stream_lines", "SELECT count(*) AS n, count(DISTINCT message) AS n_messages FROM logs WHERE level <> 'DEBUG'")
+def _(spark, logs, d):
+    at = new_path(spark, "lines")
+    logs.select(F.when(F.col("level") == "DEBUG", F.lit("  ")).otherwise(F.col("message")).alias("value")).write.text(f"{at}/in")
+    readers.stream_lines(spark, f"{at}/in").writeStream.format("parquet").option("checkpointLocation", f"{at}/c").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    return spark.read.parquet(f"{at}/out").agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_messages"))
+
+
+@register("sql_query", "SELECT level, count(*) AS n FROM logs WHERE component = 'svc-4' GROUP BY 1")
+def _(spark, logs, d):
+    logs.createOrReplaceTempView("lumenlog_sql_query")
+    return readers.query(spark, "SELECT level, count(*) AS n FROM lumenlog_sql_query WHERE component = :c GROUP BY level", c="svc-4")
+
+
+@register("markdown_report", "+c AS (SELECT count(*) AS n FROM logs), t AS (SELECT component, count(*) AS n FROM logs GROUP BY 1 ORDER BY n DESC, component LIMIT 2) SELECT '# Run' AS value UNION ALL SELECT '' UNION ALL SELECT '- rows: ' || n FROM c UNION ALL SELECT '' UNION ALL SELECT '| component | n |' UNION ALL SELECT '| --- | --- |' UNION ALL SELECT '| ' || component || ' | ' || n || ' |' FROM t")
+def _(spark, logs, d):
+    at = new_path(spark, "report")
+    sinks.write_report(spark, at, "Run", {"rows": logs.count()}, query.top(logs, "component", 2))
+    return spark.read.text(at).where(F.col("value") != "").unionByName(spark.read.text(at).where(F.col("value") == "").limit(2))
+
+
+# Preparation.
+
+
+@register("attach_results", "SELECT log_id, CASE WHEN level = 'ERROR' THEN template END AS template FROM parsed", "parsed")
+def _(spark, logs, d):
+    rows = parsed(logs)
+    return query.with_results(rows, rows.where("level = 'ERROR'")).select("log_id", "template")
+
+
+@register("fill_defaults", "SELECT log_id, CASE WHEN level = 'ERROR' THEN 'INFO' ELSE level END AS level, CASE WHEN user_id % 2 = 0 THEN 'unknown' ELSE component END AS component FROM logs")
+def _(spark, logs, d):
+    some = logs.withColumn("level", F.when(F.col("level") != "ERROR", F.col("level"))).withColumn("component", F.when(F.col("user_id") % 2 != 0, F.col("component")))
+    return query.with_defaults(some).select("log_id", "level", "component")
+
+
+@register("column_names", "SELECT DISTINCT message, lower(regexp_replace(message, '[^A-Za-z0-9]', '_', 'g')) AS name, 'f_' || lower(regexp_replace(log_id || message, '[^A-Za-z0-9]', '_', 'g')) AS numbered FROM logs")
+def _(spark, logs, d):
+    return logs.select("message", T.column_name(F.col("message")).alias("name"), T.column_name(F.concat(F.col("log_id").cast("string"), "message")).alias("numbered")).distinct()
+
+
+@register("parse_times", "SELECT count(*) AS total, round(avg(value), 6) AS avg_ms, max(value) AS max_ms, min(value) AS min_ms FROM logs")
+def _(spark, logs, d):
+    return rounded(query.run_metrics(parsed(logs), ms="value").select("total", "avg_ms", "max_ms", "min_ms"))
+
+
+@register("variable_positions", "SELECT array_to_string(list_filter(range(0, len(string_split(template, ' '))), lambda i: contains(string_split(template, ' ')[i + 1], '<')), ',') AS places, count(*) AS n FROM parsed GROUP BY 1", "parsed")
+def _(spark, logs, d):
+    return parsed(logs).groupBy(F.array_join(T.variable_positions(T.tokenize(F.col("template"))).cast("array<string>"), ",").alias("places")).agg(F.count("*").alias("n"))
+
+
+@register("merge_clusters", "+r AS (SELECT template, message, log_id, user_id % 2 AS side, row_number() OVER (PARTITION BY template, user_id % 2 ORDER BY log_id) AS k FROM parsed), u AS (SELECT template, message, min(side * 10 + k) AS o FROM r WHERE k <= 5 GROUP BY 1, 2), f AS (SELECT template, count(*) AS frequency FROM parsed GROUP BY 1) SELECT template, frequency, array_to_string((list(message ORDER BY o))[1:5], '|') AS examples FROM u JOIN f USING (template) GROUP BY 1, 2", "parsed")
+def _(spark, logs, d):
+    rows = parsed(logs)
+    a, b = (templates.clusters(rows.where(F.col("user_id") % 2 == k)) for k in (0, 1))
+    return templates.merge_clusters(a, b).select("template", "frequency", F.array_join("examples", "|").alias("examples"))
+
+
+@register("cosine_distances", "SELECT a.vec_id AS first, b.vec_id AS second, round(1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS distance FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1", "")
+def _(spark, logs, d):
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    a, b = v.select(F.col("vec_id").alias("first"), F.col("embedding").alias("x")), v.select(F.col("vec_id").alias("second"), F.col("embedding").alias("y"))
+    return rounded(a.join(b, F.col("second") == F.col("first") + 1).select("first", "second", cluster.cosine_distance(F.col("x"), F.col("y")).alias("distance")))
+
+
+@register("numeric_columns", "SELECT * FROM (VALUES ('log_id'), ('user_id'), ('value')) t(field)", "")
+def _(spark, logs, d):
+    return spark.createDataFrame([(c,) for c in numeric.numeric_columns(logs)], "field string")
+
+
+@register("prefilter_or_all", "SELECT log_id FROM logs")
+def _(spark, logs, d):
+    return prefilter.prefilter_or_all(logs, 10**9).select("log_id")
+
+
+@register("stream_parse", "SELECT template, count(*) AS n FROM parsed GROUP BY 1", "parsed")
+def _(spark, logs, d):
+    return streamed(spark, d, streaming.parse_stream).groupBy("template").agg(F.count("*").alias("n"))
+
+
+@register("stream_new_templates", "SELECT DISTINCT template FROM parsed", "parsed")
+def _(spark, logs, d):
+    return streamed(spark, d, lambda rows: streaming.new_templates(streaming.parse_stream(rows), "3650 days")).select("template")
+
+
+def streamed(spark: SparkSession, d: str, flow: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `flow` makes of the stream of the table's rows, run to its end."""
+    at = new_path(spark, "stream")
+    rows = logs_view(spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events*.parquet"))
+    flow(rows).select("log_id", "template").writeStream.format("parquet").option("checkpointLocation", f"{at}/c").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    return spark.read.parquet(f"{at}/out")
+
+
+# Anomalies of earlier windows, each detected on its own.
+
+_PAST = f"""WITH REC {LOGS_SQL}, w AS (SELECT log_id, component, level, embedding, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, CAST(floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(ts) - 1) / 864000000000.0) AS BIGINT) AS win FROM logs JOIN embeddings ON vec_id = log_id WHERE ts < TIMESTAMP '{AS_OF}'),
+e AS (SELECT a.log_id AS a, b.log_id AS b FROM w a JOIN w b ON a.win = b.win AND a.log_id <> b.log_id AND 1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) <= {EPS}),
+core AS (SELECT a AS v FROM e GROUP BY a HAVING count(*) >= {MIN_SAMPLES - 1}), ce AS (SELECT a, b FROM e WHERE a IN (SELECT v FROM core) AND b IN (SELECT v FROM core)),
+reach(v, l) AS (SELECT v, v FROM core UNION SELECT ce.b, l FROM reach JOIN ce ON reach.v = ce.a), comp AS (SELECT v, min(l) AS l FROM reach GROUP BY 1),
+lab AS (SELECT w.*, coalesce(c.l, bd.l, -1) AS cl FROM w LEFT JOIN comp c ON c.v = log_id LEFT JOIN (SELECT e.b AS v, min(comp.l) AS l FROM e JOIN comp ON e.a = comp.v GROUP BY 1) bd ON bd.v = log_id),
+st AS (SELECT win, cl, count(*) AS c, avg(k) AS m, stddev_samp(k) AS s FROM lab GROUP BY 1, 2),
+r AS (SELECT lab.win, component, level, lab.cl = -1 OR c < {MIN_SAMPLES} AS emb, coalesce(s > 0 AND abs(k - m) / s > 2.5, false) AS num FROM lab JOIN st ON lab.win = st.win AND lab.cl = st.cl)
+SELECT win AS "window", count(*) AS total, count(*) FILTER (emb) AS embedding, count(*) FILTER (num) AS numeric, count(DISTINCT component) AS components, round(avg(CASE WHEN level IN ('ERROR', 'CRITICAL') THEN 1.0 ELSE 0.0 END), 6) AS error_ratio FROM r WHERE win < 3 AND (emb OR num) GROUP BY 1"""
+
+
+@register("detection_history", _PAST, "")
+def _(spark, logs, d):
+    return rounded(anomaly.detection_history(with_vectors(spark, logs, d), AS_OF, 240, 30, eps=EPS, min_samples=MIN_SAMPLES))
+
+
+# Drain over messages of three formats, which differ in their number of words or in their first ones.
+
+
+@register("drain_formats", "SELECT template, n FROM (SELECT CASE WHEN event_type = 'error' THEN 'disk d<NUM> of svc-<NUM> is full' WHEN event_type = 'click' THEN 'session opened for DEBUG' ELSE 'session closed for <*>' END AS template, count(*) AS n FROM logs GROUP BY 1)")
+def _(spark, logs, d):
+    m = F.when(F.col("event_type") == "error", F.concat(F.lit("disk d"), F.col("user_id").cast("string"), F.lit(" of "), "component", F.lit(" is full"))).when(F.col("event_type") == "click", F.concat(F.lit("session opened for "), "level")).otherwise(F.concat(F.lit("session closed for "), F.translate("component", "0123456789-", "abcdefghij")))
+    return templates.drain(logs.withColumn("message", m)).groupBy("template").agg(F.count("*").alias("n"))
+
+
 ORACLE.update({k: v.replace("WITH REC ", "WITH RECURSIVE ") for k, v in ORACLE.items()})

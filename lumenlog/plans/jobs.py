@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenlog.functions.tokens import normalize_template
 from lumenlog.operators import anomaly, evaluate, query, templates
-from lumenlog.session import get_spark
+from lumenlog.session import get_spark, materialize
 from lumenlog.sources import readers, sinks
 
 
@@ -26,6 +26,7 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--level")
         s.add_argument("--component")
         s.add_argument("--no-history", action="store_true")
+        s.add_argument("--history-days", type=int, default=7)
         s.add_argument("--output-dir")
     s = sub.add_parser("parse")
     s.add_argument("input")
@@ -49,7 +50,8 @@ def main(argv: list[str] | None = None) -> int:
         anomaly.summary(found).show(truncate=False)
         found.select("timestamp", "level", "component", "message", "explanation").show(5, truncate=False)
         if a.job == "analyze" and not a.no_history:
-            past = anomaly.history_windows(query.filter_logs(logs, level=a.level, component=a.component), end, a.hours)
+            before = end - timedelta(hours=a.hours)
+            past = materialize(anomaly.detection_history(logs, before, a.hours, a.history_days, eps=a.eps, min_samples=a.min_samples, level=a.level, component=a.component), "history")
             anomaly.history_stats(past).show(truncate=False)
             anomaly.current_vs_history(anomaly.summary(found), past).show(truncate=False)
         if a.output_dir:

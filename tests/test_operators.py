@@ -284,3 +284,35 @@ def test_jobs(spark, tmp_path):
     _write(at / "Apache_2k.log_structured.csv", "LineId,Content,EventTemplate\n1,a b1,a <*>\n2,a b2,a <*>\n3,stop,stop\n")
     assert jobs.main(["evaluate", "--base", str(tmp_path / "base"), "--system", "Apache", "--output-dir", str(tmp_path / "ev")]) == 0
     assert spark.read.json(str(tmp_path / "ev/metrics")).first().grouping_accuracy == 1.0
+
+
+def test_merging_is_the_same_at_every_size(spark):
+    rng = random.Random(11)
+    words = [*"abcdefgh", "<OID>", "<LOI>", "<*>"]
+    names = {" ".join(rng.choices(words, k=rng.randrange(1, 9))) for _ in range(150)} | {"<OID> <LOI>", "<OID>", "<OID> <OID> <OID>", "a a a a", "a b", ""}
+    names |= {f"{x} b c d e f g h i j" for x in ("alpha", "beta")}
+    rows = [(t, rng.randrange(40)) for t in sorted(names)]
+    df = spark.createDataFrame(rows, "template string, first_id long")
+    for threshold in (0.5, 0.8, 0.9):
+        want = sorted(templates.merge_templates(df, threshold).collect())
+        assert sorted(templates.merge_templates(df, threshold, driver=0).collect()) == want
+        assert 5 < sum(r.template != r.merged for r in want) < len(want)
+    assert dict(templates.merge_templates(df, 0.8, driver=0).where("template like '%b c d e f%'").select("template", "merged").collect())["beta b c d e f g h i j"] == "alpha b c d e f g h i j"
+
+
+def test_templates_of_variables_only(spark):
+    df = spark.createDataFrame([("<OID> <LOI>",), ("<OBA> <OBA>",), ("a <OID>",), ("x y",)], "template string")
+    got = {(r.first, r.second): r.score for r in templates.pair_matches(df).collect()}
+    assert got[("<OBA> <OBA>", "<OID> <LOI>")] == 1.0 and got[("<OID> <LOI>", "a <OID>")] == 0.0 and ("x y", "a <OID>") not in got
+    assert templates.merge_map(["<OID> <LOI>", "a", "<OBA> <OBA>"], 0.8) == ["<OID> <LOI>", "a", "<OID> <LOI>"]
+    own = templates._place_similarity
+    for n, m in ((1, 1), (2, 3), (4, 4), (5, 7), (9, 2)):
+        a, b = " ".join(["<OID>"] * n), " ".join(["<LOI>"] * m)
+        assert math.isclose(one(spark, T.template_similarity(F.col("a"), F.col("b")), a=a, b=b), own(n, m))
+
+
+def test_explainer_argument(spark):
+    rows = [(i, f"2024-01-01 00:00:0{i}", "INFO", "c", "m", {"k": "1"}, [1.0, 0.0] if i else [0.0, 1.0]) for i in range(6)]
+    logs = spark.createDataFrame(rows, "log_id long, timestamp string, level string, component string, message string, parameters map<string,string>, embedding array<float>")
+    found = anomaly.detect(logs.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")), explainer=lambda message, *more: F.concat(F.lit("see "), message)).collect()
+    assert [(r.log_id, r.explanation) for r in found] == [(0, "see m")]
