@@ -32,8 +32,16 @@ def strings(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
-#: Bytes of a batch that a worker takes up at a time.
+#: Bytes of a batch that a worker takes up at a time, and that Spark sends at a time.
 TAKEN = 4 << 20
+SENT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Have the session send batches of about TAKEN bytes (at least a row), unless a bound was set. The executor holds a
+    batch outside of its heap, twice while it grows, and Spark's own bound is 64 MB for every task."""
+    if SENT not in spark.conf.getAll:
+        spark.conf.set(SENT, f"{TAKEN}b")
 
 
 def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -45,7 +53,9 @@ def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """`f` for mapInArrow, over portions of the batches, in a worker that gives memory back: large arrays when they are
     freed, all else at the end of the partition. Workers outlive their tasks, and what an idle one keeps is lost to the
-    executor."""
+    executor. Called on the driver while a plan is made, it bounds the session's batches too."""
+    if spark := SparkSession.getActiveSession():
+        bound_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         libc = ctypes.CDLL(None) if sys.platform == "linux" else None
