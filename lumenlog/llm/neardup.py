@@ -6,12 +6,15 @@ SimHash alone can't keep that bound: at a similarity of 0.8 two fingerprints dif
 the rounds before it left apart, and every link is checked by the exact similarity of the shingles:
 
 1. fingerprints within `max_bits` bits, by the trie self-join of `simhash`;
-2. each set with the smallest set of each shingle of its prefix;
+2. each set with the centre of each shingle of its prefix: of the sets that have it, the one whose leading shingles are
+   the most frequent, which of edited copies is the text that they were made from;
 3. all others that share a shingle of their prefixes.
 
 Rounds 2 and 3 are an exact similarity self-join: with all sets in one order of the shingles, rare ones first, two
-sets of similarity t or more share a shingle within the first n - ceil(t n) + 1 of each; the pairs that share enough of
-these are compared. A large group of near copies is held together after round 1 or 2 and isn't compared pair by pair.
+sets of similarity t or more have at least m = t (n_a + n_b) / (1 + t) shingles in common, so they share one within the
+first n_a - m + 1 of one and the first n_b - m + 1 of the other. The join asks for that, so copies with more edits than
+the bound allows don't meet on what all copies share. A large group of near copies is held together after round 1 or 2
+and isn't compared pair by pair.
 """
 
 from __future__ import annotations
@@ -114,18 +117,26 @@ def similar_documents(docs: DataFrame, words: int = 5, least: tuple[int, int] =
     near = near.join(one("a"), "a").join(one("b"), "b").select(F.least("low_a", "low_b").alias("a"), F.greatest("low_a", "low_b").alias("b"))
     same = alone.join(prints, "fingerprint").where("low <> class").select(F.col("low").alias("a"), F.col("class").alias("b"))
 
-    rows = sets.where("n > 0").select("class", "n", F.explode("lead").alias("s"))
+    rows = sets.where("n > 0").select("class", "n", F.posexplode("lead").alias("i", "s"))
     # What is joined with a large table is written first: where it is small it is broadcast and the table stays in place.
-    shared = rows.groupBy("s").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("s", "low")
-    hits = materialize(rows.join(materialize(shared, "shared"), "s").distinct(), "hits")  # class, n, s, low
+    shared = rows.groupBy("s").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("f")).where("low < high").select("s", "f")
+    hits = materialize(rows.join(materialize(shared, "shared"), "s").distinct(), "hits")  # class, n, i, s, f
+    # The centre of a shingle is the set whose leading shingles are the most frequent: of copies of one text, the text.
+    weight = hits.groupBy("class").agg(F.sum("f").alias("w"))
+    centre = hits.join(weight, "class").groupBy("s").agg(F.max(F.struct("w", "class"))["class"].alias("centre"))
+    hits = materialize(hits.drop("f").join(centre, "s"), "centred")  # s, class, n, i, centre
 
     def candidates(a: DataFrame, b: DataFrame, apart: Column) -> DataFrame:
         a, b = (x.select(*[F.col(c).alias(c + k) for c in x.columns if c != "s"], "s") for x, k in ((a, "_a"), (b, "_b")))
-        fits = F.expr(f"{q} * least(n_a, n_b) >= {p} * greatest(n_a, n_b)")
+        # So many shingles must be common; then one is within the first n - need + 1 of either set.
+        need = F.expr(f"({p} * (n_a + n_b) + {p + q - 1}) div {p + q}")
+        fits = (F.col("i_a") <= F.col("n_a") - need) & (F.col("i_b") <= F.col("n_b") - need)
         pair = [F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")]
-        found = a.join(b, "s").where(apart & fits).select(*pair, "n_a", "n_b").groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.col("n_a") + F.col("n_b")).alias("n"), F.max(F.greatest("n_a", "n_b")).alias("most"))
-        # Beyond those that the leading parts share, at most the rest of one of the two can be common.
-        return found.where(f"{p + q} * (c + ({p} * most + {q - 1}) div {q} - 1) >= {p} * n").select("a", "b")
+        rest = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) - 1
+        found = a.join(b, "s").where(apart & fits).select(*pair, rest.alias("rest"), need.alias("need"))
+        found = found.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("rest").alias("rest"), F.first("need").alias("need"))
+        # Beyond these, at most what follows the last of them can be common.
+        return found.where("c + rest >= need").select("a", "b")
 
     def alike(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "pairs")
@@ -141,11 +152,11 @@ def similar_documents(docs: DataFrame, words: int = 5, least: tuple[int, int] =
     def named(links: DataFrame) -> DataFrame:
         """The hits with the component that their set is in by the links so far."""
         known = connected_components(links, "a", "b")
-        return hits.join(known, F.col("class") == F.col("node"), "left").select("class", "low", "n", "s", F.coalesce("component", "class").alias("part"))
+        return hits.join(known, F.col("class") == F.col("node"), "left").select("class", "centre", "n", "i", "s", F.coalesce("component", "class").alias("part"))
 
     found = materialize(alike(near.unionByName(same).distinct()), "links")
     own = materialize(named(found), "named")
-    star = candidates(own.where("class = low"), own.where("class <> low"), F.col("part_a") != F.col("part_b"))
+    star = candidates(own.where("class = centre"), own.where("class <> centre"), F.col("part_a") != F.col("part_b"))
     found = found.unionByName(materialize(alike(star), "links"))
     own = materialize(named(found), "named")
     mixed = own.groupBy("s").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("s")
