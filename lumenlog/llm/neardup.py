@@ -140,7 +140,13 @@ def similar_documents(docs: DataFrame, words: int = 5, least: tuple[int, int] =
 
     def alike(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "pairs")
-        needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "needed")
+        ends = lambda: materialize(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "needed")
+        # Beyond those that the leading parts share, at most the rest of one of the two can be common.
+        lead = sets.join(ends(), "class", "left_semi").select("class", "n", "lead").dropDuplicates(["class"])
+        a, b = (lead.select(F.col("class").alias(k), F.col("n").alias("n_" + k), F.col("lead").alias("lead_" + k)) for k in "ab")
+        both = pairs.join(a, "a").join(b, "b").withColumn("c", F.size(F.array_intersect("lead_a", "lead_b")))
+        pairs = materialize(both.where(f"{p + q} * (c + ({p} * greatest(n_a, n_b) + {q - 1}) div {q} - 1) >= {p} * (n_a + n_b)").select("a", "b"), "pairs")
+        needed = ends()
         ids = materialize(sets.join(needed, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "ids")
         own = docs.select(F.col("doc_id").cast("long"), "text")
         own = own.join(ids, "doc_id", "left_semi").unionByName(own.where("doc_id is null"))
