@@ -56,6 +56,14 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables as `materialize` returned them, before the end: what still reads them ends here."""
+    for t in tables:
+        path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for at in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            path(at).getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path(at), True)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete every table that this driver process materialized; results that still read them end here."""
     jvm, root = spark.sparkContext._jvm, f"{shared_dir(spark)}/lumenlog"

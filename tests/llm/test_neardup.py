@@ -67,3 +67,38 @@ def test_stage_drops_near_copies_of_over_four_bits(spark, sf):
     assert (fingerprint(rows[0][1]) ^ fingerprint(rows[1][1])).bit_count() > 4
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in P.near_dedup(spark, docs, sf).collect()) == [0, 2]
+
+
+def test_parities_bound_what_is_common(spark):
+    rng = np.random.default_rng(5)
+    rows, true = [], []
+    for n, m, same in ((1, 1, 0), (60, 70, 60), (64, 65, 64), (300, 260, 250), (500, 520, 0), (40, 3000, 30), (2000, 2100, 1990)):
+        own = np.unique(rng.integers(0, 1 << 63, n + m - same, dtype=np.uint64))
+        a, b = own[:n], np.sort(own[n - same :])
+        rows.append((N.parities(a).view(np.int64).tolist(), N.parities(b).view(np.int64).tolist()))
+        true.append((len(a), len(b), len(np.intersect1d(a, b)), len(np.setxor1d(a, b))))
+    got = [r.d for r in spark.createDataFrame(rows, "a array<long>, b array<long>").coalesce(1).select(N.differing("a", "b").alias("d")).collect()]
+    assert all(d <= apart and (d - apart) % 2 == 0 for d, (*_, apart) in zip(got, true, strict=True))
+    far = [9 * (n + m - d) < 8 * (n + m) for d, (n, m, *_) in zip(got, true, strict=True)]
+    assert far == [True, False, False, False, True, False, False]  # sizes this far apart are left to the sizes
+    assert not any(f and 9 * 2 * c >= 8 * (n + m) for f, (n, m, c, _) in zip(far, true, strict=True))
+
+
+def test_unlike_sets_never_carry_shingles_and_little_stays_on_disk(spark, monkeypatch):
+    """60 texts of one size share a passage that is in all their leading parts: 1770 pairs, none of them alike."""
+    from pathlib import Path
+
+    from lumenlog.session import shared_dir
+
+    rng, compared = np.random.default_rng(7), []
+    passage = " ".join(f"p{x}" for x in range(60))
+    rows = [(i, f"{passage} " + " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 60))) for i in range(60)]
+    rows += [(100, rows[0][1]), (101, rows[1][1].replace("p0 ", "q0 ")), (102, "")]
+    monkeypatch.setattr(N, "COMMON", 0)
+    monkeypatch.setattr(N, "shingle_sets", lambda docs, words=5, f=N.shingle_sets: compared.append(docs.count()) or f(docs, words))
+    at = Path(shared_dir(spark).removeprefix("file:")) / "lumenlog"
+    before = set(at.glob("*"))
+    got = {r.doc_id: r.component_id for r in N.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == slow_groups(rows) and sum(compared) <= 4
+    left = {p.name.split("-")[1] for p in set(at.glob("*")) - before}
+    assert left <= {"hot", "edges", "links", "rows"}, left
