@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import lean, slices, strings
+from lumenlog.llm.common import held, lean, slices, strings
 
 #: Pretokens of more bytes than this are encoded as a tree of leaves of at most this many bytes.
 LEAF = 512
@@ -354,7 +354,7 @@ class WordBpe:
         return " ".join(map(self.texts.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-_LOADED: dict[str, WordBpe] = {}
+_LOADED: dict[str, WordBpe] = held("bpe")
 
 
 def load(path: str) -> WordBpe:
@@ -406,12 +406,12 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "ids",
         out, keep = bpe.tree_texts(parts).astype("<u4").tobytes(), t.slice(0, 1).select(list(name.values()))
         return keep.append_column("ids", pa.array([out], pa.binary())).append_column("joins", pa.array([t.num_rows - 1], pa.int64()))
 
-    short = base.where(small).mapInArrow(lean(whole), f"{fields}ids binary, joins long")
+    short = base.where(small).mapInArrow(lean(whole, "bpe"), f"{fields}ids binary, joins long")
     long = base.where(~small).withColumn("t_uid", F.monotonically_increasing_id())
     long = long.select(*name.values(), "t_uid", "t")
-    pieces = long.mapInArrow(lean(cut), f"{fields}t_uid long, seq long, piece string")
+    pieces = long.mapInArrow(lean(cut, "bpe"), f"{fields}t_uid long, seq long, piece string")
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    done = pieces.repartition(n, "t_uid", "seq").mapInArrow(lean(piece), f"{fields}t_uid long, seq long, piece string, data binary")
+    done = pieces.repartition(n, "t_uid", "seq").mapInArrow(lean(piece, "bpe"), f"{fields}t_uid long, seq long, piece string, data binary")
     long = done.groupBy("t_uid").applyInArrow(glue, f"{fields}ids binary, joins long")
     out = short.unionByName(long)
     return out.select(*[F.col(n).alias(c) for c, n in name.items()], F.col("ids").alias(ids), *([F.col("joins").alias(joins)] if joins else []))
@@ -449,4 +449,4 @@ def digest(df: DataFrame, path: str) -> DataFrame:
             cols = [b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids])]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select("doc_id", "ids").mapInArrow(lean(run), schema)
+    return df.select("doc_id", "ids").mapInArrow(lean(run, "bpe"), schema)

@@ -50,14 +50,32 @@ def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     return (batch.slice(i, n) for i in range(0, batch.num_rows, n))
 
 
-def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+#: What a worker holds from one task to the next, by the operator that it is for.
+_HELD: dict[str, dict] = {}
+
+
+def held(operator: str) -> dict:
+    """The dictionary of what this worker holds for the operator."""
+    return _HELD.setdefault(operator, {})
+
+
+def release(but: str = "") -> None:
+    """Drop what this worker holds for operators other than `but`."""
+    for k, v in _HELD.items():
+        if k != but:
+            v.clear()
+
+
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], operator: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """`f` for mapInArrow, over portions of the batches, in a worker that gives memory back: large arrays when they are
     freed, all else at the end of the partition. Workers outlive their tasks, and what an idle one keeps is lost to the
-    executor. Called on the driver while a plan is made, it bounds the session's batches too."""
+    executor; so what it holds for operators other than `operator` goes before anything is read. Called on the driver while
+    a plan is made, it bounds the session's batches too."""
     if spark := SparkSession.getActiveSession():
         bound_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(operator)
         libc = ctypes.CDLL(None) if sys.platform == "linux" else None
         if hasattr(libc, "mallopt"):
             libc.mallopt(-3, 1 << 24)  # M_MMAP_THRESHOLD

@@ -195,8 +195,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     spark = docs.sparkSession
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    staged = materialize(ordered.mapInArrow(lean(stage), schema), "ids")
-    rows = staged.where("counts is not null").select("counts").mapInArrow(lean(summed), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    staged = materialize(ordered.mapInArrow(lean(stage, "bpe"), schema), "ids")
+    rows = staged.where("counts is not null").select("counts").mapInArrow(lean(summed, "bpe"), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts = np.zeros(n_vocab, dtype=np.int64)
     for r in rows.collect():  # at most the vocabulary
         counts[r.id] = r.n
@@ -210,7 +210,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                 data = pack(own, np.array(sizes), np.frombuffer(ids, dtype=wide), lengths, codes, every)
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int64()), (seq, pa.int64()), (n, pa.int64()), (data, pa.binary()))], names=["part", "seq", "n_ids", "block"])
 
-    staged.where("seq >= 0").drop("counts").mapInArrow(lean(code), "part long, seq long, n_ids long, block binary").write.parquet(f"{path}/blocks")
+    staged.where("seq >= 0").drop("counts").mapInArrow(lean(code, "bpe"), "part long, seq long, n_ids long, block binary").write.parquet(f"{path}/blocks")
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/code")
 
 
@@ -234,7 +234,7 @@ def read_token_files(spark: SparkSession, path: str, summary: bool = True) -> Da
                 own = pa.array([None if d == NO_ID else d for d in docs.tolist()], pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([b.column("part")[k].as_py()] * n, pa.int64()), pa.array([b.column("seq")[k].as_py()] * n, pa.int64()), own, pa.array(end - sizes), pa.array(sizes), pa.array(got, kind)], names=["part", "seq", "doc_id", "offset", "n_tokens", value])
 
-    rows = blocks.select("part", "seq", "block").mapInArrow(lean(decode), f"part long, seq long, doc_id long, offset long, n_tokens long, {value} {'long' if summary else 'binary'}")
+    rows = blocks.select("part", "seq", "block").mapInArrow(lean(decode, "bpe"), f"part long, seq long, doc_id long, offset long, n_tokens long, {value} {'long' if summary else 'binary'}")
     # Offsets of parts (as many rows as files), then of blocks within a part: metadata columns only.
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     parts = parts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("part_start"))

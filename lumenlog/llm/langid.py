@@ -33,7 +33,7 @@ MAX_LANGS = 512
 SWITCH = 12.0
 #: A language is a candidate for a script in which at least this share of its training letters is written.
 MIN_SHARE = 0.01
-SLICE_CHARS = 1 << 18
+SLICE_CHARS = 1 << 17
 #: Words whose scores are held together.
 HOLD_WORDS = 1 << 19
 

@@ -137,3 +137,16 @@ def test_token_files_of_odd_tables(spark):
     got = huffman.token_files(df, PATH).orderBy("start").collect()
     assert [(r.doc_id, r.start, r.n_tokens) for r in got] == [(None, 0, 2), (1, 2, 3), (2, 5, 1), (2, 6, 2), (2, 8, 2)]
     assert huffman.token_files(df.limit(0), PATH).count() == 0
+
+
+def test_workers_drop_the_encoder_for_another_operator():
+    import pyarrow as pa
+    import public_tokenizers
+
+    from lumenlog.llm import bpe
+    from lumenlog.llm.common import lean
+
+    bpe.load(public_tokenizers.path("word_bpe_49k.json"))
+    batch = pa.RecordBatch.from_pydict({"text": ["a"]})
+    assert list(lean(iter, "bpe")(iter([batch]))) == [batch] and bpe._LOADED
+    assert list(lean(iter)(iter([batch]))) == [batch] and not bpe._LOADED
